@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cordon.llm import bpe, exact_dedup, line_dedup, quality_rules
+from cordon.llm import bpe, exact_dedup, html_extract, line_dedup, packing, quality_classifier, quality_rules, token_output, toxicity
 from cordon.llm.common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -18,10 +18,26 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
+
+
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.digests(token_output.matrices(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE)))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id")
 
@@ -34,12 +50,21 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_toxicity": op2_toxicity,
         "op3_line_dedup": op3_line_dedup,
+        "op4_packing": op4_packing,
+        "op5_token_output": op5_token_output,
+        "op6_quality_classifier": op6_quality_classifier,
         "op8_quality_rules": op8_quality_rules,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_html_extract": op10_html_extract,
     }
 
 
