@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cordon.llm import bpe, exact_dedup, html_extract, line_dedup, packing, quality_classifier, quality_rules, token_output, toxicity
+from cordon.llm import bpe, exact_dedup, html_extract, jaccard_join, line_dedup, packing, quality_classifier, quality_rules, token_output, toxicity
 from cordon.llm.common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -38,6 +38,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id")
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_token_output": op5_token_output,
         "op6_quality_classifier": op6_quality_classifier,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_quality_rules": op8_quality_rules,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_html_extract": op10_html_extract,
