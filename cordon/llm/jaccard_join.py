@@ -16,10 +16,11 @@ many texts share.
 
 Signatures meet in buckets. Small buckets give all their pairs. In others every set is
 paired with the bucket's first and with its predecessor; after these pairs are verified and
-components found, sets of different components of a bucket are paired, in rounds: those a
-few places apart, then those up to twice as far and so on, until every pair of a bucket is
-in one component or has been verified. So no link is lost,
-and a group of thousands of near copies does not give all its pairs. Pairs are verified
+components found, sets of different components of a bucket are compared by bitmaps that bound
+their difference from below, first those a few places apart, then, with the components that
+this gives, all others; pairs that the bound allows are verified. So no link is lost, and
+neither a group of thousands of near copies nor one of texts that share a passage gives all
+its pairs. Pairs are verified
 exactly on their texts. Equal sets are one class from the start.
 """
 
@@ -39,8 +40,8 @@ from cordon.llm.common import UPPER, LOWER, partitions, written
 
 #: Buckets of at most so many sets give all pairs at once.
 SMALL = 4
-#: Places apart in the first round over larger buckets; each round has twice as many.
-WIDTH = 4
+#: Places apart in the first round over larger buckets; the second takes all others.
+WIDTH = 32
 #: Cost of a set's stay in a bucket of texts that share only common passages, in rows; shingles of such passages in a text.
 SPURIOUS, COMMON = 2000.0, 12.0
 SEEN = 200_000
@@ -76,6 +77,28 @@ def set_key(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for each element, by hash, in 2 to 4 bits an element. Bits in which two sets' bitmaps differ need an
+    element each in which the sets differ; this bounds their difference from below."""
+    width = 64
+    while width < 2 * len(s):
+        width *= 2
+    bits = np.zeros(width, np.uint8)
+    bits[((s * ODD[5]) >> np.uint64(20)) & np.uint64(width - 1)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def folded(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of words, all as narrow as the narrowest."""
+    width, rows = min(map(len, maps)), []
+    for x in maps:
+        row = np.frombuffer(x, np.uint64)
+        while len(row) * 8 > width:
+            row = row[: len(row) // 2] | row[len(row) // 2 :]
+        rows.append(row)
+    return np.vstack(rows)
+
+
 class Bands:
     """Size bands, and for each (H, segments, empty segments allowed for)."""
 
@@ -149,7 +172,8 @@ def keys_array(keys: np.ndarray) -> pa.Array:
 
 
 def keys_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(column.cast(pa.binary(KEY)).buffers()[1], np.uint8, len(column) * KEY, column.offset * KEY).reshape(-1, KEY)
+    fixed = column.cast(pa.binary(KEY))
+    return np.frombuffer(fixed.buffers()[1], np.uint8, len(fixed) * KEY, fixed.offset * KEY).reshape(-1, KEY)
 
 
 def differs(keys: np.ndarray) -> np.ndarray:
@@ -250,15 +274,15 @@ class Join:
         self.kind = docs.schema[id_col].dataType.simpleString()
 
     def sets(self) -> DataFrame:
-        """(d, v, n, key) per document; key null for an empty set."""
+        """(d, v, n, key, bits) per document; key and bits null for an empty set."""
         words = self.words
 
         def run(batches):
             for batch in batches:
                 found = [shingles(t, words) for t in batch.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array([set_key(s) if len(s) else None for s in found], pa.binary())], ["d", "v", "n", "key"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array([set_key(s) if len(s) else None for s in found], pa.binary()), pa.array([bitmap(s) if len(s) else None for s in found], pa.binary())], ["d", "v", "n", "key", "bits"])
 
-        return self.docs.select("d", "v", "t").mapInArrow(run, f"d {self.kind}, v long, n long, key binary")
+        return self.docs.select("d", "v", "t").mapInArrow(run, f"d {self.kind}, v long, n long, key binary, bits binary")
 
     def buckets(self) -> DataFrame:
         words, percent = self.words, self.percent
@@ -312,53 +336,68 @@ class Join:
         return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
-def cross(low: int, high: int):
-    """Over rows (sig, comp, key), sorted by sig and key: pairs of members of different components that stand
-    `low` to `high` - 1 places apart in a bucket. Every such pair has a member outside the bucket's largest
-    component, and only those members look around."""
+def cross(low: int, high: int, percent: int):
+    """Over rows (sig, comp, key, n, bits), sorted by sig and key: pairs of members of different components that
+    stand `low` to `high` - 1 places apart in a bucket and whose sizes and bitmaps allow them to be similar.
 
-    def run(batches):
-        def around(comp: np.ndarray, key: np.ndarray):
-            _, code, count = np.unique(comp, axis=0, return_inverse=True, return_counts=True)
-            code = code.reshape(-1)
-            for i in np.flatnonzero(code != np.argmax(count)):
-                places = np.r_[max(0, i - high + 1) : max(0, i - low + 1), min(len(key), i + low) : min(len(key), i + high)]
-                places = places[code[places] != code[i]]
-                mine = np.broadcast_to(key[i], (len(places), KEY))
+    Every such pair has a member outside the bucket's largest component, and only those look
+    around. What is compared here are bitmaps in memory; no other pair leaves the bucket.
+    """
+
+    def bucket(rows: pa.RecordBatch):
+        comp, key, n = keys_of(rows.column(1)), keys_of(rows.column(2)), rows.column(3).to_numpy()
+        _, code, count = np.unique(comp, axis=0, return_inverse=True, return_counts=True)
+        code, maps = code.reshape(-1), folded(rows.column(4).to_pylist())
+        for i in np.flatnonzero(code != np.argmax(count)):
+            # members of the largest component don't look around, so pairs with them are found from here on both sides
+            places = np.r_[max(0, i - high + 1) : max(0, i - low + 1), min(len(key), i + low) : min(len(key), i + high)]
+            places = places[code[places] != code[i]]
+            most = (100 - percent) * (n[places] + n[i]) // (100 + percent)
+            places = places[np.maximum(np.bitwise_count(maps[places] ^ maps[i]).sum(1), abs(n[places] - n[i])) <= most]
+            mine = np.broadcast_to(key[i], (len(places), KEY))
+            if len(places):
                 yield np.where((places < i)[:, None], np.hstack([key[places], mine]), np.hstack([mine, key[places]]))
 
-        def out(sig, comp, key):
-            starts, held, n = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]), [], 0
+    def pair_batch(held):
+        rows = np.unique(np.vstack(held), axis=0)
+        return pa.RecordBatch.from_arrays([keys_array(rows[:, :KEY]), keys_array(rows[:, KEY:])], ["a", "b"])
+
+    def run(batches):
+        hold: list[pa.RecordBatch] = []
+
+        def out(rows: pa.RecordBatch):
+            sig, held, n = rows.column(0).to_numpy(), [], 0
+            starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
             for x, y in zip(starts, np.r_[starts[1:], len(sig)]):
-                for rows in around(comp[x:y], key[x:y]):
-                    held.append(rows)
-                    n += len(rows)
+                for found in bucket(rows.slice(x, y - x)):
+                    held.append(found)
+                    n += len(found)
                     if n > 20_000:
                         yield pair_batch(held)
                         held, n = [], 0
             if n:
                 yield pair_batch(held)
 
-        def pair_batch(held):
-            rows = np.unique(np.vstack(held), axis=0)
-            return pa.RecordBatch.from_arrays([keys_array(rows[:, :KEY]), keys_array(rows[:, KEY:])], ["a", "b"])
-
-        sig, comp, key = np.empty(0, np.int64), np.empty((0, KEY), np.uint8), np.empty((0, KEY), np.uint8)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.concatenate([sig, batch.column(0).to_numpy()])
-            comp, key = np.vstack([comp, keys_of(batch.column(1))]), np.vstack([key, keys_of(batch.column(2))])
+            sig = batch.column(0).to_numpy()
             cut = int(np.searchsorted(sig, sig[-1]))
-            if cut:
-                yield from out(sig[:cut], comp[:cut], key[:cut])
-                sig, comp, key = sig[cut:], comp[cut:], key[cut:]
-        if len(sig):
-            yield from out(sig, comp, key)
+            if cut or (hold and hold[-1].column(0)[-1].as_py() != sig[-1]):
+                yield from out(joined([*hold, batch.slice(0, cut)]))
+                hold = [batch.slice(cut)]
+            else:
+                hold.append(batch)
+        if hold:
+            yield from out(joined(hold))
 
     return run
 
 
+def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id (the smallest identifier reachable by links).
 
@@ -370,6 +409,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     join = Join(docs, words, percent, id_col, text_col)
     sets = written(join.sets(), "shingle-sets")
     classes = sets.where("key is not null").groupBy("key").agg(F.min("d").alias("first"), F.min_by("v", "d").alias("v"))
+    sketches = sets.where("key is not null").select("key", "n", "bits").dropDuplicates(["key"])
     found = written(join.buckets(), "buckets")
     pairs = written(found.where("sig is null").select("a", "b").distinct(), "pairs")
     rest = found.where("sig is not null").select("sig", F.col("a").alias("key"))
@@ -381,15 +421,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         labels = components(links)
         labelled = rest.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         mixed = labelled.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y")
-        rest = written(labelled.join(mixed.select("sig", "k"), "sig").select("sig", "comp", "key", "k"), "mixed-buckets")
+        rest = written(labelled.join(mixed.select("sig", "k"), "sig").join(sketches, "key").select("sig", "comp", "key", "n", "bits", "k"), "mixed-buckets")
         most = rest.agg(F.max("k")).first()[0]
         if most is None or low >= most:
             break
-        asked = rest.repartition(partitions(join.spark), "sig").sortWithinPartitions("sig", "key").select("sig", "comp", "key").mapInArrow(cross(low, low + width), "a binary, b binary").distinct().join(tested, ["a", "b"], "left_anti")
+        asked = rest.repartition(partitions(join.spark), "sig").sortWithinPartitions("sig", "key").select("sig", "comp", "key", "n", "bits").mapInArrow(cross(low, low + width, percent), "a binary, b binary").distinct().join(tested, ["a", "b"], "left_anti")
         asked = written(asked, "pairs")
         links = links.union(written(join.verified(asked, texts), "links"))
         tested, rest = tested.union(asked), rest.select("sig", "key")
-        low, width = low + width, 2 * width
+        low, width = low + width, 1 << 62
     named = classes.join(labels, "key", "left").select("key", "first", F.coalesce("comp", "key").alias("comp"))
     small = named.groupBy("comp").agg(F.min("first").alias("component_id"))
     final = named.join(small, "comp").select(F.col("key").alias("key2"), "component_id")
