@@ -135,13 +135,15 @@ def fit(sample: DataFrame) -> Model | None:
     return model
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 4, held_out: int = 2, cut: float = 0.7, most: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 4, held_out: int = 2, cut: float = 0.7, most: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, fit_on: DataFrame | None = None) -> DataFrame:
     """One row per row of `docs`: id, held_out, score (0 to 1), predicted (1 if score >= cut), and with `carry` all columns as the struct `row`.
 
+    The model is fitted on labelled documents of `fit_on`, or of `docs` where that isn't given.
+
     Null texts are scored as empty ones. Without labels of both kinds every score is 0.5.
     Repeated rows get equal rows; an empty table gives none; other columns have no influence.
     """
-    model = fit(labelled_sample(docs, labels, label_col, folds, held_out, most, id_col, text_col))
+    model = fit(labelled_sample(docs if fit_on is None else fit_on, labels, label_col, folds, held_out, most, id_col, text_col))
 
     def run(batches):
         for batch in batches:
