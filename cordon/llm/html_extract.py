@@ -187,13 +187,24 @@ def shared(a: list[int], b: list[int]) -> list[int]:
     return sorted(ends + found)
 
 
-def main_text(parsed: list[tuple[str, int]], neighbours: list[list[int]], markup: bool = True) -> str:
+def alignment(batches):
+    """Rows (i, v, lines, i2, v2, lines2) of neighbours to (i, v, gone): for each page, the numbers of the lines it shares."""
+    for batch in batches:
+        i, v, gone = [], [], []
+        for i1, v1, a, i2, v2, b in zip(*(c.to_pylist() for c in batch.columns)):
+            if a != b:
+                i += [i1, i2]
+                v += [v1, v2]
+                gone += [shared(a, b), shared(b, a)]
+        yield pa.RecordBatch.from_arrays([pa.array(i, batch.schema.field(0).type), pa.array(v, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["i", "v", "gone"])
+
+
+def main_text(parsed: list[tuple[str, int]], gone: set[int], markup: bool = True) -> str:
     """The page's lines that stay, joined by a space. markup=False leaves all to differencing."""
-    hashes = [line_hash(t) for t, _ in parsed]
-    if markup and any(f & IN_ARTICLE for _, f in parsed):
-        return " ".join(t for t, f in parsed if f == IN_ARTICLE)
-    gone = {i for other in neighbours for i in shared(hashes, other)} if any(x != hashes for x in neighbours) else set()
-    return " ".join(t for i, (t, f) in enumerate(parsed) if i not in gone and not (markup and f & IN_CHROME))
+    if not markup:
+        return " ".join(t for k, (t, _) in enumerate(parsed) if k not in gone)
+    named = any(f & IN_ARTICLE for _, f in parsed)
+    return " ".join(t for k, (t, f) in enumerate(parsed) if not f & IN_CHROME and (f & IN_ARTICLE or not named and k not in gone))
 
 
 def extract(pages: DataFrame, markup: bool = True, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -227,14 +238,14 @@ def extract(pages: DataFrame, markup: bool = True, id_col: str = "page_id", url_
         n += c
     firsts = spark.createDataFrame(firsts, "part long, first long")
     ranked = slim.join(F.broadcast(firsts), F.shiftright("at", 33) == F.col("part")).withColumn("rank", F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1))
-    to = ranked.select(F.explode(F.array(F.col("rank") - 1, F.col("rank") + 1)).alias("rank"), F.col("host").alias("host2"), F.col("rank").alias("from"), F.col("lines").alias("other"))
-    met = ranked.join(to.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("from", "host2", "other"))).alias("near")), "rank", "left")
-    near = met.select("i", "v", F.transform(F.filter("near", lambda x: x["host2"] == F.col("host")), lambda x: x["other"]).alias("near")).groupBy(F.col("i").alias("i2"), F.col("v").alias("v2")).agg(F.first("near").alias("near"))
+    after = ranked.select((F.col("rank") - 1).alias("rank"), F.col("host").alias("host2"), F.col("i").alias("i2"), F.col("v").alias("v2"), F.col("lines").alias("lines2"))
+    met = ranked.join(after, "rank").where(F.col("host") == F.col("host2")).select("i", "v", "lines", "i2", "v2", "lines2")
+    gone = met.mapInArrow(alignment, f"i {kind}, v long, gone array<int>").groupBy(F.col("i").alias("i2"), F.col("v").alias("v2")).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
     def texts(batches):
         for batch in batches:
-            out = [main_text(lines(h), near or [], markup) for h, near in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            out = [main_text(lines(h), set(gone or ()), markup) for h, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], [id_col, url_col, "text", "n_chars"])
 
-    full = rows.join(near, F.col("i").eqNullSafe(F.col("i2")) & (F.col("v") == F.col("v2")), "left").select("i", "u", "h", "near")
+    full = rows.join(gone, F.col("i").eqNullSafe(F.col("i2")) & (F.col("v") == F.col("v2")), "left").select("i", "u", "h", "gone")
     return full.mapInArrow(texts, f"{id_col} {kind}, {url_col} string, text string, n_chars long")
