@@ -45,6 +45,10 @@ WIDTH = 32
 #: Cost of a set's stay in a bucket of texts that share only common passages, in rows; shingles of such passages in a text.
 SPURIOUS, COMMON = 2000.0, 12.0
 SEEN = 200_000
+#: Sets of at most so many shingles bring their bitmaps to large buckets; larger ones are ruled out pair by pair.
+SKETCHED = 256
+#: Sets of pairs are listed to all executors up to this many, 40 bytes each.
+LISTED = 500_000
 #: Rows of one bucket that wait for its end; of more, each is paired as it comes.
 HOLD = 4096
 
@@ -210,7 +214,7 @@ def bucket_rows(sig: np.ndarray, key: np.ndarray, first: np.ndarray | None = Non
 
 
 def meet(batches):
-    """Rows (sig, key), sorted by both, to what bucket_rows gives. A bucket's rows wait for its end, but for HOLD at most."""
+    """Rows (sig, key), sorted by sig, to what bucket_rows gives. A bucket's rows wait for its end, but for HOLD at most."""
     hold_sig, hold_key = np.empty(0, np.int64), np.empty((0, KEY), np.uint8)
     going: tuple | None = None  # a large bucket that has begun: sig, first key, last key
 
@@ -218,37 +222,63 @@ def meet(batches):
         pairs = [(a, b) for a, b in pairs if len(a)]
         if pairs:
             a, b = np.vstack([x for x, _ in pairs]), np.vstack([x for _, x in pairs])
-            different = (a != b).any(1)
-            both = np.unique(np.hstack([a, b])[different], axis=0)
+            both = ordered(a, b)
             yield pa.RecordBatch.from_arrays([keys_array(both[:, :KEY]), keys_array(both[:, KEY:]), pa.nulls(len(both), pa.int64())], ["a", "b", "sig"])
         for key, sig in rest:
             yield pa.RecordBatch.from_arrays([keys_array(key), pa.nulls(len(key), pa.binary()), pa.array(sig)], ["a", "b", "sig"])
 
+    def shared_only(sig, key):
+        """Rows of buckets with two different keys at least, sorted by both, each once. Most signatures are of one set."""
+        same = sig[1:] == sig[:-1]
+        some = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+        sig, key = sig[some], key[some]
+        words = key.view(">u8")
+        order = np.lexsort((words[:, 1], words[:, 0], sig))
+        sig, key = sig[order], key[order]
+        once = differs(key) | np.r_[True, sig[1:] != sig[:-1]] if len(sig) else np.empty(0, bool)
+        return sig[once], key[once]
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig = np.concatenate([hold_sig, batch.column(0).to_numpy()])
-        key = np.vstack([hold_key, keys_of(batch.column(1))])
-        keep = differs(key) | np.r_[True, sig[1:] != sig[:-1]]
-        sig, key = sig[keep], key[keep]
+        sig, key = batch.column(0).to_numpy(), keys_of(batch.column(1))
         if going is not None:
-            n = int(np.searchsorted(sig != going[0], True)) if (sig != going[0]).any() else len(sig)
+            n = len(sig) if sig[-1] == going[0] else int(np.argmax(sig != going[0]))
             if n:
                 yield from out(*bucket_rows(sig[:n], key[:n], going[1], going[2]))
                 going = (going[0], going[1], key[n - 1])
             if n == len(sig):
-                hold_sig, hold_key = sig[:0], key[:0]
                 continue
             going, sig, key = None, sig[n:], key[n:]
-        last = int(np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])[-1])
+        if len(hold_sig):
+            sig, key = np.concatenate([hold_sig, sig]), np.vstack([hold_key, key])
+        last = int(np.searchsorted(sig, sig[-1]))
         if len(sig) - last > HOLD:
-            yield from out(*bucket_rows(sig, key))
-            going, hold_sig, hold_key = (sig[last], key[last], key[-1]), sig[:0], key[:0]
+            done_sig, done_key = shared_only(sig, key)
+            if len(done_sig):
+                tail = done_key[done_sig == sig[-1]]
+                yield from out(*bucket_rows(done_sig, done_key))
+                going = (sig[-1], tail[0], tail[-1]) if len(tail) else (sig[-1], key[-1], key[-1])
+            else:
+                going = (sig[-1], key[-1], key[-1])
+            hold_sig, hold_key = sig[:0], key[:0]
         else:
-            yield from out(*bucket_rows(sig[:last], key[:last])) if last else ()
+            done_sig, done_key = shared_only(sig[:last], key[:last])
+            if len(done_sig):
+                yield from out(*bucket_rows(done_sig, done_key))
             hold_sig, hold_key = sig[last:], key[last:]
     if len(hold_sig):
-        yield from out(*bucket_rows(hold_sig, hold_key))
+        done_sig, done_key = shared_only(hold_sig, hold_key)
+        if len(done_sig):
+            yield from out(*bucket_rows(done_sig, done_key))
+
+
+def ordered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct pairs of different keys, the smaller first."""
+    x, y = a.reshape(-1, KEY).copy().view(">u8"), b.reshape(-1, KEY).copy().view(">u8")
+    less = (x[:, 0] < y[:, 0]) | (x[:, 0] == y[:, 0]) & (x[:, 1] < y[:, 1])
+    both = np.where(less[:, None], np.hstack([a, b]), np.hstack([b, a]))
+    return np.unique(both[(a != b).any(1)], axis=0)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -307,13 +337,31 @@ class Join:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), keys_array(rows)], ["sig", "key"])
 
         rows = self.docs.select("t").mapInArrow(run, "sig long, key binary")
-        return rows.repartition(partitions(self.spark), "sig").sortWithinPartitions("sig", "key").mapInArrow(meet, BUCKETS)
+        return rows.repartition(partitions(self.spark), "sig").sortWithinPartitions("sig").mapInArrow(meet, BUCKETS)
+
+    def verified(self, pairs: DataFrame, sketches: DataFrame, classes: DataFrame) -> DataFrame:
+        """Those of `pairs` (a, b) whose sets are similar: bitmaps rule most others out, texts decide.
 
-    def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """Those of `pairs` (a, b) whose sets are similar. A text is sent once for each pair as b, and to meet them as a."""
+        Only texts of pairs that are left are sent. While those are few enough to be listed
+        to all executors (LISTED), they are picked where the table is read.
+        """
         words, percent = self.words, self.percent
 
-        def run(batches):
+        def possible(batches):
+            for batch in batches:
+                n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+                ok = [allowed(int(x), int(y), folded([u, v]), percent) for x, u, y, v in zip(n, batch.column(3).to_pylist(), m, batch.column(5).to_pylist())]
+                mask = pa.array(ok, pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+        right = sketches.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+        left = sketches.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+        pairs = written(pairs.join(right, "b").join(left, "a").select("a", "b", "na", "ba", "nb", "bb").mapInArrow(possible, "a binary, b binary"), "possible-pairs")
+        need = written(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes, "key").select("key", "first", F.col("v").alias("v2")), "pair-keys")
+        way = "broadcast" if need.count() <= LISTED else "merge"
+        texts = self.docs.join(need.hint(way), (F.col("d") == F.col("first")) & (F.col("v") == F.col("v2"))).select("key", "t").dropDuplicates(["key"])
+
+        def decided(batches):
             held: dict[bytes, np.ndarray] = {}
 
             def of(key, text):
@@ -331,9 +379,15 @@ class Join:
                     mask = pa.array(ok, pa.bool_())
                     yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
-        right = texts.select(F.col("key").alias("b"), F.col("t").alias("tb"))
-        left = texts.select(F.col("key").alias("a"), F.col("t").alias("ta"))
-        return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+        texts = written(texts, "pair-texts")
+        right = texts.select(F.col("key").alias("b"), F.col("t").alias("tb")).hint("merge")
+        left = texts.select(F.col("key").alias("a"), F.col("t").alias("ta")).hint("merge")
+        return written(pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(decided, "a binary, b binary"), "links")
+
+
+def allowed(n: int, m: int, maps: np.ndarray, percent: int) -> bool:
+    """Whether sets of these sizes and bitmaps may be similar."""
+    return max(int(np.bitwise_count(maps[0] ^ maps[1]).sum()), abs(n - m)) <= (100 - percent) * (n + m) // (100 + percent)
 
 
 def cross(low: int, high: int, percent: int):
@@ -347,13 +401,15 @@ def cross(low: int, high: int, percent: int):
     def bucket(rows: pa.RecordBatch):
         comp, key, n = keys_of(rows.column(1)), keys_of(rows.column(2)), rows.column(3).to_numpy()
         _, code, count = np.unique(comp, axis=0, return_inverse=True, return_counts=True)
-        code, maps = code.reshape(-1), folded(rows.column(4).to_pylist())
+        code, maps = code.reshape(-1), rows.column(4)
+        maps = None if maps.null_count else folded(maps.to_pylist())
         for i in np.flatnonzero(code != np.argmax(count)):
             # members of the largest component don't look around, so pairs with them are found from here on both sides
             places = np.r_[max(0, i - high + 1) : max(0, i - low + 1), min(len(key), i + low) : min(len(key), i + high)]
             places = places[code[places] != code[i]]
             most = (100 - percent) * (n[places] + n[i]) // (100 + percent)
-            places = places[np.maximum(np.bitwise_count(maps[places] ^ maps[i]).sum(1), abs(n[places] - n[i])) <= most]
+            apart = abs(n[places] - n[i])
+            places = places[(apart if maps is None else np.maximum(np.bitwise_count(maps[places] ^ maps[i]).sum(1), apart)) <= most]
             mine = np.broadcast_to(key[i], (len(places), KEY))
             if len(places):
                 yield np.where((places < i)[:, None], np.hstack([key[places], mine]), np.hstack([mine, key[places]]))
@@ -411,25 +467,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     classes = sets.where("key is not null").groupBy("key").agg(F.min("d").alias("first"), F.min_by("v", "d").alias("v"))
     sketches = sets.where("key is not null").select("key", "n", "bits").dropDuplicates(["key"])
     found = written(join.buckets(), "buckets")
-    pairs = written(found.where("sig is null").select("a", "b").distinct(), "pairs")
-    rest = found.where("sig is not null").select("sig", F.col("a").alias("key"))
-    need = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes, "key")
-    texts = written(join.docs.join(need.withColumnRenamed("v", "v2"), (F.col("d") == F.col("first")) & (F.col("v") == F.col("v2"))).dropDuplicates(["key"]).select("key", "t"), "pair-texts")
-    links = written(join.verified(pairs, texts), "links")
-    tested, width, low = pairs, WIDTH, 1
-    while True:
-        labels = components(links)
+    tested = written(found.where("sig is null").select("a", "b").distinct(), "pairs")
+    links = join.verified(tested, sketches, classes)
+    labels = components(links)
+    rest = found.where("sig is not null").select("sig", F.col("a").alias("key")).distinct()
+    carried = sketches.select("key", "n", F.when(F.col("n") <= SKETCHED, F.col("bits")).alias("bits"))
+    for low, high in ((1, WIDTH), (WIDTH, 1 << 62)):
         labelled = rest.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        mixed = labelled.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y")
-        rest = written(labelled.join(mixed.select("sig", "k"), "sig").join(sketches, "key").select("sig", "comp", "key", "n", "bits", "k"), "mixed-buckets")
-        most = rest.agg(F.max("k")).first()[0]
-        if most is None or low >= most:
-            break
-        asked = rest.repartition(partitions(join.spark), "sig").sortWithinPartitions("sig", "key").select("sig", "comp", "key", "n", "bits").mapInArrow(cross(low, low + width, percent), "a binary, b binary").distinct().join(tested, ["a", "b"], "left_anti")
-        asked = written(asked, "pairs")
-        links = links.union(written(join.verified(asked, texts), "links"))
-        tested, rest = tested.union(asked), rest.select("sig", "key")
-        low, width = low + width, 1 << 62
+        mixed = labelled.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
+        rest = written(labelled.join(mixed, "sig"), "mixed-buckets")
+        asked = rest.join(carried, "key").repartition(partitions(join.spark), "sig").sortWithinPartitions("sig", "key").select("sig", "comp", "key", "n", "bits")
+        asked = written(asked.mapInArrow(cross(low, high, percent), "a binary, b binary").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not asked.isEmpty():
+            links = links.union(join.verified(asked, sketches, classes))
+            labels = components(links)
+            tested = tested.union(asked)
+        rest = rest.select("sig", "key")
     named = classes.join(labels, "key", "left").select("key", "first", F.coalesce("comp", "key").alias("comp"))
     small = named.groupBy("comp").agg(F.min("first").alias("component_id"))
     final = named.join(small, "comp").select(F.col("key").alias("key2"), "component_id")
