@@ -226,7 +226,8 @@ def extract(pages: DataFrame, markup: bool = True, id_col: str = "page_id", url_
             found = [[line_hash(t) for t, _ in lines(h)] for h in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names[1:], "lines"])
 
-    slim = rows.select("h", "host", "path", "i", "v").mapInArrow(hashes, f"host string, path string, i {kind}, v long, lines array<long>")
+    # written before the range partitioning, which reads it twice: for splitters and for rows
+    slim = written(rows.select("h", "host", "path", "i", "v").mapInArrow(hashes, f"host string, path string, i {kind}, v long, lines array<long>"), "page-hashes")
     slim = slim.repartitionByRange(partitions(spark), "host", "path", "i", "v").sortWithinPartitions("host", "path", "i", "v").withColumn("at", F.monotonically_increasing_id())
     slim = written(slim, "page-lines")
     # ranks over all partitions: a row's number in its partition and the rows of partitions before
