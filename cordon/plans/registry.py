@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("quote_queries", "zone_queries")
+
+
+def _all(what: str) -> dict:
+    out: dict = {}
+    for m in MODULES:
+        out |= getattr(import_module(f"cordon.plans.{m}"), what)()
+    return out
+
 
 def queries() -> dict:
-    return {}
+    return _all("queries")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _all("oracle_sql")
