@@ -68,8 +68,11 @@ class Lexicon:
                     self.end.append(-1)
                 node = self.child[node][c]
             self.end[node] = k
-        self.halves: tuple[str, ...] = tuple({h for k in self.fuzzy for t in [self.terms[k]] for h in (t[: len(t) // 2], t[len(t) // 2 :])})
-        self.cache: dict[str, tuple[int, int]] = {}
+        near = [self.terms[k] for k in self.fuzzy]
+        self.heads, self.tails = tuple({t[: len(t) // 2] for t in near}), tuple({t[len(t) // 2 :] for t in near})
+        self.begins, self.head2, self.tail3 = {t[:SHORTEST] for t in self.terms}, {h[:2] for h in self.heads}, {t[-3:] for t in self.tails}
+        self.found: dict[str, tuple[int, int]] = {}
+        self.clean: set[str] = set()
 
     def exact(self, word: str) -> int:
         """The longest term that begins the word, or -1."""
@@ -86,10 +89,10 @@ class Lexicon:
         """The weightiest term that one edit turns into the word, or -1.
 
         Bit i of a state says that i characters of the word have been read. The trie is
-        walked with two states, without and with an edit. One edit leaves one half of the
-        term intact, so words without any term's half aren't walked.
+        walked with two states, without and with an edit. One edit leaves the term's first
+        half intact at the word's beginning or its second half at the end; other words aren't walked.
         """
-        if not any(h in word for h in self.halves):
+        if not (word[:2] in self.head2 and word.startswith(self.heads) or word[-3:] in self.tail3 and word.endswith(self.tails)):
             return -1
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
@@ -112,17 +115,25 @@ class Lexicon:
                 stack.append((nxt, zero, edit))
         return best
 
-    def look(self, token: str) -> tuple[int, int]:
-        """(term, 0 exact or 1 near) of a token of lower-case text, or (-1, 0)."""
-        found = self.cache.get(token)
-        if found is None:
-            word = token.strip(STRIP)
-            k = self.exact(word) if word else -1
-            found = (k, 0) if k >= 0 else ((k, 1) if word and (k := self.near(word)) >= 0 else (-1, 0))
-            if len(self.cache) >= MAX_CACHE:
-                self.cache.clear()
-            self.cache[token] = found
-        return found
+    def look(self, tokens: set[str]) -> dict[str, tuple[int, int]]:
+        """Those of the tokens (of lower-case text) that are finds, each with (term, 0 exact or 1 near)."""
+        hits = {}
+        for token in tokens.difference(self.clean):
+            find = self.found.get(token)
+            if find is None:
+                word = token.strip(STRIP)
+                k = self.exact(word) if word[:SHORTEST] in self.begins else -1
+                find = (k, 0) if k >= 0 else (self.near(word), 1)
+                if find[0] < 0:
+                    if len(self.clean) >= MAX_CACHE:
+                        self.clean.clear()
+                    self.clean.add(token)
+                    continue
+                if len(self.found) >= MAX_CACHE:
+                    self.found.clear()
+                self.found[token] = find
+            hits[token] = find
+        return hits
 
     def __getstate__(self):
         return {"terms": self.terms, "weights": self.weights, "fuzzy": self.fuzzy}
@@ -134,12 +145,12 @@ class Lexicon:
 def spans(text: str, lexicon: Lexicon) -> list[tuple[int, str, int, int, bool, bool]]:
     """Finds in a text: (word position, token, term, edits, quoted, second person near)."""
     tokens = text.lower().split()
-    hit = {t for t in set(tokens) if lexicon.look(t)[0] >= 0}
+    hit = lexicon.look(set(tokens))
     out = []
     if hit:
         for i, t in enumerate(tokens):
             if t in hit:
-                term, edits = lexicon.look(t)
+                term, edits = hit[t]
                 before, after = tokens[max(0, i - WINDOW) : i], tokens[i + 1 : i + 1 + WINDOW]
                 opened = t[0] in QUOTES or any(x[0] in QUOTES for x in before)
                 closed = t.rstrip(".,;:!?)")[-1:] in QUOTES or any(x.rstrip(".,;:!?)")[-1:] in QUOTES for x in after)
@@ -193,16 +204,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def beginnings(batches):
-    """Per batch, how many toxic and other documents have a word with each beginning."""
+def counted(batches, among: set[str] | None = None):
+    """Per batch, how many documents have a word with each beginning (of `among`)."""
     for batch in batches:
-        toxic, other = Counter(), Counter()
-        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        count: Counter = Counter()
+        for text in batch.column(0).to_pylist():
             words = {t.strip(STRIP) for t in set(text.lower().split())}
-            (toxic if y else other).update({w[:k] for w in words for k in range(SHORTEST, min(LONGEST, len(w)) + 1)})
-        # what no toxic document of the batch has counts only against beginnings found in other batches
-        keys = list(toxic.keys() | other.keys())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([other[k] for k in keys], pa.int64())], ["term", "dt", "dn"])
+            if among is None:
+                count.update({w[:k] for w in words for k in range(SHORTEST, min(LONGEST, len(w)) + 1)})
+            else:
+                words = {w for w in words if w[:SHORTEST] in among}
+                count.update(among.intersection(w[:k] for w in words for k in range(SHORTEST, min(LONGEST, len(w)) + 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
 
 
 def fit(sample: DataFrame) -> Model | None:
@@ -210,12 +223,16 @@ def fit(sample: DataFrame) -> Model | None:
     nt, nn = (sample.agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("n")).first())
     if not nt or not nn:
         return None
-    counts = sample.select("text", "y").mapInArrow(beginnings, "term string, dt long, dn long").groupBy("term").agg(F.sum("dt").alias("dt"), F.sum("dn").alias("dn")).where(F.col("dt") >= 2)
-    counts = written(counts, "toxicity-terms")
-    tried = counts.count()
-    likelier = counts.where(F.col("dt") / F.lit(nt) > 4 * F.col("dn") / F.lit(nn)).orderBy(F.desc(F.col("dt") / (F.col("dn") + 1)), "term").limit(20 * MAX_TERMS).collect()
-    least = 2 * math.log(max(tried, 2)) + 4
-    passed = {r["term"]: (r["dt"], r["dn"]) for r in likelier if signed_llr(r["dt"], nt, r["dn"], nn) >= least}
+    terms = "term string, n long"
+    toxic = written(sample.where("y > 0").select("text").mapInArrow(counted, terms).groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= 2), "toxicity-terms")
+    least = 2 * math.log(max(toxic.count(), 2)) + 4
+    # what too few toxic documents have can't pass, even if no other has it
+    enough = next((d for d in range(2, int(nt) + 1) if signed_llr(d, nt, 0, nn) >= least), int(nt) + 1)
+    dt = {r["term"]: r["n"] for r in toxic.where(F.col("n") >= enough).collect()}  # from MAX_LABELLED documents
+    # every beginning of a candidate is one too, having at least its documents, so the shortest decide which words matter
+    among = set(dt)
+    dn = {r["term"]: r["n"] for r in sample.where("y = 0").select("text").mapInArrow(lambda b: counted(b, among), terms).groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    passed = {t: (n, dn.get(t, 0)) for t, n in dt.items() if signed_llr(n, nt, dn.get(t, 0), nn) >= least and n / nt > 4 * dn.get(t, 0) / nn}
     # of a beginning and a longer one with nearly as many documents, the longer stays; longer ones with fewer fall under it
     chosen: list[str] = []
     for t in sorted(passed, key=lambda t: (len(t), t)):
