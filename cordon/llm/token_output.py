@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cordon.llm.packing import CAPACITY, END_ID, pack
+from cordon.llm.packing import CAPACITY, END_ID, cut, id_type, pack
 
 PAD_ID = 0
 
@@ -29,22 +29,27 @@ def matrices(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
     gives no rows; other columns are ignored. A sequence has at most `capacity` ids, so that
     its group is bounded.
     """
-    pieces = pack(docs, path, capacity, end_id, id_col, text_col, with_ids=True)
-    rows = pieces.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", F.col(id_col).alias("doc"), "start", "ids"))).alias("s"))
+    # Ids travel twice, to their places and to their sequences; encoding again is cheaper than keeping them meanwhile.
+    key = ["piece_key", "length", "ids_crc32"]
+    places = pack(docs, path, capacity, end_id, id_col, text_col, with_key=True).groupBy(*key).agg(F.collect_list(F.struct("sequence_id", "offset")).alias("places"))
+    once = cut(docs, path, capacity, end_id, id_col, text_col, True).groupBy(*key).agg(F.first(id_col).alias("doc"), F.first("start").alias("start"), F.first("ids").alias("ids"))
+    pieces = once.join(places, key).select("doc", "start", "ids", F.explode("places").alias("at"))
+    rows = pieces.groupBy("at.sequence_id").agg(F.array_sort(F.collect_list(F.struct("at.offset", "doc", "start", "ids"))).alias("s"))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"sequence_id long, n_tokens long, n_segments long, cu_seqlens array<int>, input_ids binary, position_ids binary, doc_ids array<{kind}>, starts array<long>"
 
     def run(batches):
+        narrow = np.dtype(id_type(path, end_id))
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 out = []
                 for sequence, segments in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    lengths = [len(x["ids"]) // 4 for x in segments]
+                    lengths = [len(x["ids"]) // narrow.itemsize for x in segments]
                     ends = np.cumsum([0, *lengths])
                     wide = padded_length(int(ends[-1]), capacity)
                     ids, positions = np.full(wide, pad_id, "<u4"), np.zeros(wide, "<u4")
-                    ids[: ends[-1]] = np.frombuffer(b"".join(x["ids"] for x in segments), "<u4")
+                    ids[: ends[-1]] = np.frombuffer(b"".join(x["ids"] for x in segments), narrow)
                     positions[: ends[-1]] = np.concatenate([np.arange(n) for n in lengths])
                     out.append((sequence, int(ends[-1]), len(lengths), ends.tolist(), ids.tobytes(), positions.tobytes(), [x["doc"] for x in segments], [x["start"] for x in segments]))
                 cols = list(zip(*out))
