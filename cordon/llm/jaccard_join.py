@@ -4,24 +4,26 @@ Sets of word shingles of Jaccard similarity J >= t differ in at most H = (1-t)/(
 elements. Sizes are cut into bands so wide that such sets lie in one band or in two that
 touch; each set is indexed in its own band and the next. In a band all shingles (the
 universe) are hashed into m = H + 1 + e segments. By the pigeonhole principle at least 1 + e
-segments of the two sets are equal. An empty segment says nothing and is not indexed; if
-either set has at most e of them, the two still share one that isn't empty. Sets with more
-index all their segments and also each segment's one-deletion neighbourhood: two of them
-have some segment that differs by one element or none, since 2 m > H, and there one set's
-segment is equal to the other's or to it less one element.
-
-e is allocated to each band by cost: rows to index, the rows and company of sets with more
-than e empty segments, and the chance that a segment holds only shingles of passages that
-many texts share.
-
-Signatures meet in buckets. Small buckets give all their pairs. In others every set is
-paired with the bucket's first and with its predecessor; after these pairs are verified and
-components found, sets of different components of a bucket are compared by bitmaps that bound
+segments of the two sets are equal. A segment is dull if it is empty, or if many sets share
+it. If either set has at most e dull segments in the band, the two share one that isn't dull:
+a bucket of at most SMALL sets, all of whose pairs are candidates. So a dull segment need be
+searched only for pairs of sets that both have more than e of them. Empty segments are not
+indexed, but of sets with more than e of those all segments are, and each segment's
+one-deletion neighbourhood too: two such sets have some segment that differs by one element
+or none, since 2 m > H, and there one set's segment is equal to the other's or to it less
+one element.
+
+e is allocated to each band by cost: rows to index against the rows and company of sets with
+more than e dull segments.
+
+Larger buckets, of dull segments, are taken in two steps. Every set is paired with the
+bucket's first and with its predecessor, which is enough to tie a group of near copies
+together. Then, after these pairs are verified and components found, sets with more than e
+dull segments and of different components are compared in the bucket by bitmaps that bound
 their difference from below, first those a few places apart, then, with the components that
 this gives, all others; pairs that the bound allows are verified. So no link is lost, and
 neither a group of thousands of near copies nor one of texts that share a passage gives all
-its pairs. Pairs are verified
-exactly on their texts. Equal sets are one class from the start.
+its pairs. Equal sets are one class from the start.
 """
 
 from __future__ import annotations
@@ -40,13 +42,13 @@ from cordon.llm.common import UPPER, LOWER, partitions, written
 
 #: Buckets of at most so many sets give all pairs at once.
 SMALL = 4
-#: Places apart in the first round over larger buckets; the second takes all others.
-WIDTH = 32
-#: Cost of a set's stay in a bucket of texts that share only common passages, in rows; shingles of such passages in a text.
-SPURIOUS, COMMON = 2000.0, 12.0
+#: With so many predecessors each set is paired in larger buckets.
+CHAIN = 4
+#: Cost of a set with too many dull segments, in rows; shingles of a text that belong to passages many texts share; most dull segments allowed for.
+COMPANY, COMMON, MOST_DULL = 2000.0, 60.0, 6
 SEEN = 200_000
 #: Sets of at most so many shingles bring their bitmaps to large buckets; larger ones are ruled out pair by pair.
-SKETCHED = 256
+SKETCHED = 2048
 #: Sets of pairs are listed to all executors up to this many, 40 bytes each.
 LISTED = 500_000
 #: Rows of one bucket that wait for its end; of more, each is paired as it comes.
@@ -82,10 +84,10 @@ def set_key(s: np.ndarray) -> bytes:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """A bit for each element, by hash, in 2 to 4 bits an element. Bits in which two sets' bitmaps differ need an
+    """A bit for each element, by hash, in 2 to 4 bits an element (1 to 2 for large sets). Bits in which two sets' bitmaps differ need an
     element each in which the sets differ; this bounds their difference from below."""
     width = 64
-    while width < 2 * len(s):
+    while width < len(s) * (2 if len(s) <= 256 else 1):
         width *= 2
     bits = np.zeros(width, np.uint8)
     bits[((s * ODD[5]) >> np.uint64(20)) & np.uint64(width - 1)] = 1
@@ -104,7 +106,7 @@ def folded(maps: list[bytes]) -> np.ndarray:
 
 
 class Bands:
-    """Size bands, and for each (H, segments, empty segments allowed for)."""
+    """Size bands, and for each (H, segments, dull segments allowed for)."""
 
     def __init__(self, percent: int):
         self.percent, self.tops, self.plans = percent, [0], [(0, 1, 0)]
@@ -124,11 +126,11 @@ class Bands:
     def allocate(self, top: int) -> tuple[int, int, int]:
         h = (100 - self.percent) * 2 * top // (100 + self.percent)
         common, options = min(0.5, COMMON / top), []
-        for e in range(6):
+        for e in range(MOST_DULL + 1):
             m = h + 1 + e
-            empty = m * math.exp(-top / m)  # of these there are about as many as a Poisson law says
-            more = 1 - sum(math.exp(-empty) * empty**i / math.factorial(i) for i in range(e + 1))
-            options.append((m + more * (top + SPURIOUS) + SPURIOUS * m * common ** (top / m), h, m, e))
+            dull = m * math.exp(-top / m * (1 - common))  # segments without an element of one's own; of these there are about as many as a Poisson law says
+            more = 1 - sum(math.exp(-dull) * dull**i / math.factorial(i) for i in range(e + 1))
+            options.append((m + more * (top + COMPANY), h, m, e))
         return min(options)[1:]
 
 
@@ -138,7 +140,7 @@ def bands(percent: int) -> Bands:
 
 
 def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a set that isn't empty, in its own band and the next."""
+    """Signatures of a set that isn't empty, in its own band and the next. The last bit says whether the band is odd."""
     table, out = bands(percent), []
     own = table.of(len(s))
     for band in (own, own + 1):
@@ -149,18 +151,32 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
         segment = (mixed >> np.uint64(32)) % np.uint64(m)
         order = np.argsort(segment)
         segment, mixed = segment[order], mix(mixed[order], 3)
+        parity = np.uint64(band & 1)
         starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
         sums = np.zeros(m, np.uint64)
         sums[segment[starts]] = np.add.reduceat(mixed, starts)
         tag = np.arange(1, m + 1, dtype=np.uint64) * ODD[4]
         if m - len(starts) <= e:
             full = segment[starts]
-            out.append(mix(sums[full] ^ tag[full], band))
+            found = [mix(sums[full] ^ tag[full], band)]
         else:
-            out += [mix(sums ^ tag, band), mix((sums[segment] - mixed) ^ tag[segment], band)]
+            found = [mix(sums ^ tag, band), mix((sums[segment] - mixed) ^ tag[segment], band)]
+        out += [x & ~np.uint64(1) | parity for x in found]
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
+def slack(s: np.ndarray, percent: int) -> tuple[int, int]:
+    """How many dull segments besides empty ones are allowed for, in the set's even and odd band."""
+    table, out = bands(percent), [0, 0]
+    own = table.of(len(s))
+    for band in (own, own + 1):
+        h, m, e = table.plan(band)
+        if h:
+            full = np.bincount(((mix(s, 2 * band + 1) >> np.uint64(32)) % np.uint64(m)).astype(np.int64), minlength=m)
+            out[band & 1] = e - int((full == 0).sum())
+    return out[0], out[1]
+
+
 def similar(r: np.ndarray, s: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(r, s, assume_unique=True))
     return both > 0 and 100 * both >= percent * (len(r) + len(s) - both)
@@ -208,7 +224,10 @@ def bucket_rows(sig: np.ndarray, key: np.ndarray, first: np.ndarray | None = Non
         head = np.repeat(starts, sizes)
         rows = np.flatnonzero(large)
         tail = rows[~new[rows]]
-        pairs += [(key[head[tail]], key[tail]), (key[tail - 1], key[tail])]
+        pairs.append((key[head[tail]], key[tail]))
+        for k in range(1, CHAIN + 1):
+            far = tail[tail - k > head[tail]]
+            pairs.append((key[far - k], key[far]))
         rest.append((key[rows], sig[rows]))
     return pairs, rest
 
@@ -304,15 +323,17 @@ class Join:
         self.kind = docs.schema[id_col].dataType.simpleString()
 
     def sets(self) -> DataFrame:
-        """(d, v, n, key, bits) per document; key and bits null for an empty set."""
-        words = self.words
+        """(d, v, n, key, bits, even, odd) per document, with slack(); key, bits and slack null for an empty set."""
+        words, percent = self.words, self.percent
 
         def run(batches):
             for batch in batches:
                 found = [shingles(t, words) for t in batch.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array([set_key(s) if len(s) else None for s in found], pa.binary()), pa.array([bitmap(s) if len(s) else None for s in found], pa.binary())], ["d", "v", "n", "key", "bits"])
+                spare = [slack(s, percent) if len(s) else (None, None) for s in found]
+                slacks = [pa.array([x[i] for x in spare], pa.int32()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array([set_key(s) if len(s) else None for s in found], pa.binary()), pa.array([bitmap(s) if len(s) else None for s in found], pa.binary()), *slacks], ["d", "v", "n", "key", "bits", "even", "odd"])
 
-        return self.docs.select("d", "v", "t").mapInArrow(run, f"d {self.kind}, v long, n long, key binary, bits binary")
+        return self.docs.select("d", "v", "t").mapInArrow(run, f"d {self.kind}, v long, n long, key binary, bits binary, even int, odd int")
 
     def buckets(self) -> DataFrame:
         words, percent = self.words, self.percent
@@ -466,13 +487,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sets = written(join.sets(), "shingle-sets")
     classes = sets.where("key is not null").groupBy("key").agg(F.min("d").alias("first"), F.min_by("v", "d").alias("v"))
     sketches = sets.where("key is not null").select("key", "n", "bits").dropDuplicates(["key"])
+    spare = sets.where("key is not null").select("key", "even", "odd").dropDuplicates(["key"])
     found = written(join.buckets(), "buckets")
     tested = written(found.where("sig is null").select("a", "b").distinct(), "pairs")
     links = join.verified(tested, sketches, classes)
     labels = components(links)
-    rest = found.where("sig is not null").select("sig", F.col("a").alias("key")).distinct()
+    rest = found.where("sig is not null").select("sig", F.col("a").alias("key"), F.col("sig").bitwiseAND(1).alias("parity"))
+    dull = rest.groupBy("key", "parity").agg(F.count("*").alias("dull")).join(spare, "key").where(F.col("dull") > F.when(F.col("parity") == 0, F.col("even")).otherwise(F.col("odd")))
+    rest = rest.join(dull.select("key", "parity"), ["key", "parity"]).select("sig", "key")
     carried = sketches.select("key", "n", F.when(F.col("n") <= SKETCHED, F.col("bits")).alias("bits"))
-    for low, high in ((1, WIDTH), (WIDTH, 1 << 62)):
+    for low, high in ((1, 1 << 62),):
         labelled = rest.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         mixed = labelled.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
         rest = written(labelled.join(mixed, "sig"), "mixed-buckets")
