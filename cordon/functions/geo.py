@@ -31,8 +31,8 @@ def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 def along_segment(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Where on a segment (0 to 1) the nearest place to a point is; 0 for a segment without length."""
     length2 = (bx - ax) * (bx - ax) + (by - ay) * (by - ay)
-    t = ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / F.nullif(length2, F.lit(0.0))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)), F.lit(0.0))
+    t = F.try_divide((x - ax) * (bx - ax) + (y - ay) * (by - ay), length2)
+    return F.when(length2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))).otherwise(0.0)
 
 
 def crosses(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:

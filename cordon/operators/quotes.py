@@ -18,7 +18,11 @@ from cordon.lens import QUOTE_ORDER
 TS = "quote_creation_timestamp"
 PLACES = ("pickup_latitude", "pickup_longitude", "dropoff_latitude", "dropoff_longitude")
 CANONICAL = ("quote_id", TS, *PLACES, "quoted_price", "estimated_travel_time", "quote_converted")
-SESSION = W.partitionBy("quote_id")
+
+
+def session():
+    """All rows of a quote."""
+    return W.partitionBy("quote_id")
 
 
 def row_order(df: DataFrame) -> list[str]:
@@ -34,18 +38,18 @@ def inside(lat: Column, lon: Column, bbox=BBOX) -> Column:
 def bad_conversion() -> Column:
     """Session predicate: converted on some rows and not on others; nulls don't count."""
     c = F.col("quote_converted").cast("int")
-    return F.coalesce(F.min(c).over(SESSION) != F.max(c).over(SESSION), F.lit(False))
+    return F.coalesce(F.min(c).over(session()) != F.max(c).over(session()), F.lit(False))
 
 
 def bad_place(bbox=BBOX) -> Column:
     ok = inside(F.col(PLACES[0]), F.col(PLACES[1]), bbox) & inside(F.col(PLACES[2]), F.col(PLACES[3]), bbox)
-    return ~F.bool_and(ok).over(SESSION)
+    return ~F.bool_and(ok).over(session())
 
 
 def bad_spread(limit_m: float = MAX_SPREAD_M) -> Column:
     """The pickup moved by more than the limit between any two rows."""
     point = F.when(F.col(PLACES[0]).isNotNull() & F.col(PLACES[1]).isNotNull(), F.struct(F.col(PLACES[0]).alias("lat"), F.col(PLACES[1]).alias("lon")))
-    return max_spread_m(F.collect_set(point).over(SESSION)) > limit_m
+    return max_spread_m(F.collect_set(point).over(session())) > limit_m
 
 
 def with_call_ett(df: DataFrame) -> DataFrame:
@@ -55,7 +59,7 @@ def with_call_ett(df: DataFrame) -> DataFrame:
 
 
 def bad_ett(limit_s: float = MAX_ETT_DIFF_S) -> Column:
-    return F.coalesce(F.max("call_ett").over(SESSION) - F.min("call_ett").over(SESSION) > limit_s, F.lit(False))
+    return F.coalesce(F.max("call_ett").over(session()) - F.min("call_ett").over(session()) > limit_s, F.lit(False))
 
 
 def flagged(df: DataFrame, bbox=BBOX, spread_m: float = MAX_SPREAD_M, ett_s: float = MAX_ETT_DIFF_S) -> DataFrame:
@@ -99,7 +103,7 @@ def drop_counts(df: DataFrame, **limits) -> DataFrame:
 
 def canonical_location(df: DataFrame) -> DataFrame:
     """Every row gets the places of its session's last call (of ties, of the first row)."""
-    last = SESSION.orderBy(F.col(TS).desc(), *row_order(df)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    last = session().orderBy(F.col(TS).desc(), *row_order(df)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     return df.withColumns({c: F.first(c).over(last) for c in PLACES})
 
 
@@ -110,12 +114,12 @@ def arm_key(seed: int) -> Column:
 
 def last_call(df: DataFrame) -> DataFrame:
     """All rows of each session's last call."""
-    return df.withColumn("_last", F.max(TS).over(SESSION)).where(F.col(TS) == F.col("_last")).drop("_last")
+    return df.withColumn("_last", F.max(TS).over(session())).where(F.col(TS) == F.col("_last")).drop("_last")
 
 
 def one_arm(df: DataFrame, seed: int = SEED) -> DataFrame:
     order = [arm_key(seed), F.col("quoted_price"), *row_order(df)]
-    return df.withColumn("_n", F.row_number().over(SESSION.orderBy(*order))).where("_n = 1").drop("_n")
+    return df.withColumn("_n", F.row_number().over(session().orderBy(*order))).where("_n = 1").drop("_n")
 
 
 def canonical_quotes(df: DataFrame, seed: int = SEED) -> DataFrame:
@@ -165,7 +169,7 @@ def call_table(df: DataFrame) -> DataFrame:
         first(PLACES[0]).alias("pickup_lat"), first(PLACES[1]).alias("pickup_lon"), first(PLACES[2]).alias("dropoff_lat"), first(PLACES[3]).alias("dropoff_lon"),
         first("estimated_travel_time").alias("time_travel_estimated"), sorted_prices(F.col("quoted_price")).alias("prices"), first("quote_converted").alias("quote_converted"),
     )
-    w = SESSION.orderBy("call_ts")
+    w = session().orderBy("call_ts")
     return calls.withColumns({
         "call_id": F.row_number().over(w) - 1,
         "delta_ms_prev": rounded(seconds_between(F.col("call_ts"), F.lag("call_ts").over(w)) * 1000, 2),
@@ -177,7 +181,7 @@ def call_table(df: DataFrame) -> DataFrame:
 
 def call_numbers(df: DataFrame) -> DataFrame:
     """Rows with call_num, the 0-based number of their call."""
-    return df.withColumn("call_num", F.dense_rank().over(SESSION.orderBy(TS)) - 1)
+    return df.withColumn("call_num", F.dense_rank().over(session().orderBy(TS)) - 1)
 
 
 def rows_per_quote(df: DataFrame) -> DataFrame:
