@@ -65,8 +65,14 @@ def base_rules(text: Column) -> Column:
 def ngram_buckets(text: Column) -> Column:
     """Buckets of the text's unigrams and bigrams, as an array of int."""
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
-    bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(BUCKETS)).cast("int")
-    return let(tokens, lambda t: F.flatten(F.transform(t, lambda x, i: F.when(i == 0, F.array(bucket(x))).otherwise(F.array(bucket(x), bucket(F.get(t, i - 1), x))))))
+    bucket = lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int")
+
+    def grams(h: Column) -> Column:
+        """Unigrams and bigrams of token hashes."""
+        pairs = F.when(F.size(h) > 1, F.transform(F.sequence(F.lit(1), F.size(h) - 1), lambda i: bucket(F.xxhash64(F.get(h, i - 1), F.get(h, i)))))
+        return F.concat(F.transform(h, bucket), F.coalesce(pairs, F.array().cast("array<int>")))
+
+    return let(F.transform(tokens, lambda x: F.xxhash64(x)), grams)
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> DataFrame:
