@@ -16,11 +16,16 @@ def hourly_totals(merged: DataFrame) -> DataFrame:
     return merged.groupBy("hour_bucket").agg(F.sum("quote_count").alias("total_quotes"), *[F.any_value(v, True).alias(v) for v in VARIABLES if v in merged.columns])
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Pearson r over rows where both are known; null where either is constant (an aggregate)."""
+    a, b = F.when(y.isNotNull(), x.cast("double")), F.when(x.isNotNull(), y.cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def correlations(df: DataFrame, target: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pearson r of each weather variable with the target, as rows (keys, variable, r). Pairs with a null are passed over."""
     found = [v for v in VARIABLES if v in df.columns]
-    pair = lambda v: F.corr(F.when(F.col(target).isNotNull(), F.col(v)), F.when(F.col(v).isNotNull(), F.col(target).cast("double")))
-    wide = df.groupBy(*keys).agg(*[pair(v).alias(v) for v in found])
+    wide = df.groupBy(*keys).agg(*[pearson(F.col(v), F.col(target)).alias(v) for v in found])
     return wide.unpivot(list(keys), found, "variable", "r").withColumn("r", rounded(F.col("r"), 6))
 
 
@@ -32,7 +37,7 @@ def regression(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: n, slope, intercept, r, t of the least-squares line over rows where both are finite."""
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     d = df.where(finite(a) & finite(b))
-    one = d.agg(F.count("*").alias("n"), F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"), F.corr(a, b).alias("r"))
+    one = d.agg(F.count("*").alias("n"), F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"), pearson(a, b).alias("r"))
     return one.withColumn("t", F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r"))))
 
 
