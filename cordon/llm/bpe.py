@@ -55,7 +55,13 @@ class TrieBpe:
             self.rank[x, y] = r
             if z not in self.parts:
                 self.parts[z], self.made_at[z] = (x, y), r
-        self.longest = max(map(len, self.ids))
+        # suffix automaton of the vocabulary, grown as words need it: a state is the longest end of
+        # what has been read that begins some token, and knows the tokens that end there
+        self.beginnings = {t[:k] for t in self.ids for k in range(1, len(t) + 1)} | {b""}
+        self.state_of: dict[bytes, int] = {b"": 0}
+        self.read: list[bytes] = [b""]
+        self.ends: list[list[tuple[int, int]]] = [[]]
+        self.step: dict[int, int] = {}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.find = regex.compile(PATTERN).findall
         self.pairs_ok: dict[int, bool] = {}
@@ -66,7 +72,7 @@ class TrieBpe:
     def clear(self) -> None:
         """An empty trie: node 0 is the root. child is keyed by node * 256 + byte."""
         self.child: dict[int, int] = {}
-        self.last, self.before = [-1], [-1]
+        self.last, self.before, self.states = [-1], [-1], [0]
 
     def spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens that stand at one end of `token` while it forms, each with the rank at which it is merged away."""
@@ -113,21 +119,35 @@ class TrieBpe:
             ids[i : i + 2] = [self.ids[self.text_of[ids[i]] + self.text_of[ids[i + 1]]]]
         return ids
 
+    def advance(self, state: int, byte: int) -> int:
+        """The state after one more byte."""
+        read = self.read[state] + bytes((byte,))
+        while read not in self.beginnings:
+            read = read[1:]
+        nxt = self.state_of.get(read)
+        if nxt is None:
+            nxt = self.state_of[read] = len(self.read)
+            self.read.append(read)
+            self.ends.append([(len(read) - k, self.ids[read[k:]]) for k in range(len(read)) if read[k:] in self.ids])
+        self.step[state << 8 | byte] = nxt
+        return nxt
+
     def insert(self, word: bytes) -> int:
-        """The node of the word; new nodes get their last token here."""
-        child, last, before = self.child, self.last, self.before
-        ids, longest, ok_pairs = self.ids, self.longest, self.pairs_ok
-        node, path = 0, [0]
-        for depth, byte in enumerate(word, 1):
+        """The node of the word; new nodes get their last token here: of the tokens that end there, the one that may follow."""
+        child, last, before, states = self.child, self.last, self.before, self.states
+        step, ends, ok_pairs = self.step, self.ends, self.pairs_ok
+        node, depth, path = 0, 0, [0]
+        for byte in word:
+            depth += 1
             key = node << 8 | byte
             nxt = child.get(key)
             if nxt is None:
-                for start in range(max(0, depth - longest), depth):
-                    token = ids.get(word[start:depth])
-                    if token is None:
-                        continue
-                    if start:
-                        left = last[path[start]]
+                state = step.get(states[node] << 8 | byte)
+                if state is None:
+                    state = self.advance(states[node], byte)
+                for length, token in ends[state]:
+                    if length < depth:
+                        left = last[path[depth - length]]
                         ok = ok_pairs.get(left << 32 | token)
                         if ok is None:
                             ok = self.may_follow(left, token)
@@ -137,7 +157,8 @@ class TrieBpe:
                         break
                 nxt = child[key] = len(last)
                 last.append(token)
-                before.append(path[start])
+                before.append(path[depth - length])
+                states.append(state)
             node = nxt
             path.append(node)
         return node
@@ -157,13 +178,14 @@ class TrieBpe:
             self.words[word.decode()] = array("I", ids).tobytes()
 
     def encode_plain(self, text: str) -> bytes:
-        found, cache = self.find(text), self.words
+        found = self.find(text)
+        new = set(found).difference(self.words)
+        if new:
+            self.learn(new)
         try:
-            return b"".join(map(cache.__getitem__, found))
-        except KeyError:
-            self.learn({w for w in found if w not in cache})
-            cache = self.words
-            return b"".join([cache[w] if w in cache else self.fresh(w) for w in found])
+            return b"".join(map(self.words.__getitem__, found))
+        except KeyError:  # the cache was emptied on the way
+            return b"".join([self.words[w] if w in self.words else self.fresh(w) for w in found])
 
     def fresh(self, word: str) -> bytes:
         self.learn({word})
@@ -203,7 +225,6 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", id_col: st
         bpe = loaded(path)
         for batch in batches:
             out = []
-            new: set[str] = set()
             texts = batch.column(1).to_pylist()
             for t in texts:
                 ids = bpe.encode(t)
