@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,19 +41,30 @@ def matrices(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                out = []
-                for sequence, segments in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    lengths = [len(x["ids"]) // narrow.itemsize for x in segments]
-                    ends = np.cumsum([0, *lengths])
-                    wide = padded_length(int(ends[-1]), capacity)
+                segments = part.column(1)
+                bounds = segments.offsets.to_numpy()
+                flat = segments.values.slice(bounds[0], bounds[-1] - bounds[0])
+                data, docs_, starts = flat.field("ids").to_pylist(), flat.field("doc"), flat.field("start")
+                bounds = bounds - bounds[0]
+                used, many, cuts, matrix, restarts = [], [], [], [], []
+                for a, b in zip(bounds[:-1], bounds[1:]):
+                    lengths = np.fromiter(map(len, data[a:b]), np.int64, b - a) // narrow.itemsize
+                    ends = np.r_[0, np.cumsum(lengths)]
+                    n = int(ends[-1])
+                    wide = padded_length(n, capacity)
                     ids, positions = np.full(wide, pad_id, "<u4"), np.zeros(wide, "<u4")
-                    ids[: ends[-1]] = np.frombuffer(b"".join(x["ids"] for x in segments), narrow)
-                    positions[: ends[-1]] = np.concatenate([np.arange(n) for n in lengths])
-                    out.append((sequence, int(ends[-1]), len(lengths), ends.tolist(), ids.tobytes(), positions.tobytes(), [x["doc"] for x in segments], [x["start"] for x in segments]))
-                cols = list(zip(*out))
-                doc_type = part.schema.field(1).type.value_type.field("doc").type
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(doc_type), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["sequence_id", "n_tokens", "n_segments", "cu_seqlens", "input_ids", "position_ids", "doc_ids", "starts"])
+                    ids[:n] = np.frombuffer(b"".join(data[a:b]), narrow)
+                    positions[:n] = np.arange(n) - np.repeat(ends[:-1], lengths)
+                    used.append(n)
+                    many.append(int(b - a))
+                    cuts.append(ends.astype(np.int32))
+                    matrix.append(ids.tobytes())
+                    restarts.append(positions.tobytes())
+                lists = pa.array(bounds, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(used, pa.int64()), pa.array(many, pa.int64()), pa.array(cuts, pa.list_(pa.int32())), pa.array(matrix, pa.binary()), pa.array(restarts, pa.binary()), pa.ListArray.from_arrays(lists, docs_), pa.ListArray.from_arrays(lists, starts)],
+                    ["sequence_id", "n_tokens", "n_segments", "cu_seqlens", "input_ids", "position_ids", "doc_ids", "starts"],
+                )
 
     return rows.select("sequence_id", "s").mapInArrow(run, schema)
 
