@@ -39,7 +39,7 @@ where greatest(least(a.x1,b.x1)-greatest(a.x0,b.x0),0e0)+greatest(least(a.y1,b.y
 from (select v.n_nationkey as vertical, a.n_nationkey as k, b.n_nationkey as i from {nation} v cross join {nation} a cross join {nation} b
  where v.n_nationkey<2 and a.n_nationkey<6 and b.n_nationkey<5) z""",
     "points": """select o_orderkey as point_id, ((o_orderkey*7919)%5603)*1e0-300e0 as x,
- ((o_custkey*104729+o_orderkey)%5607)*1e0-300e0 as y from {orders} where o_orderkey<2000""",
+ ((o_custkey*104729+o_orderkey)%5607)*1e0-300e0 as y from {orders}""",
     "parks": """select p_partkey as park_id, ((p_partkey*977)%4800)*1e0 as x0, ((p_partkey*1409)%4800)*1e0 as y0,
  ((p_partkey*977)%4800)*1e0+60e0+(p_partkey%5)*40e0 as x1, ((p_partkey*1409)%4800)*1e0+60e0+(p_partkey%7)*40e0 as y1
 from {part} where p_partkey<60""",

@@ -49,9 +49,8 @@ def full_series(s, d):
     return sr.prepare_series(sq.counts(s, d), sq.weather(s, d), sq.START, sq.END, m.VARIANTS["full"][2:])
 
 
-def forecast(s, d, tasks, components=False, zones=None):
-    series = full_series(s, d)
-    return m.forecasts(series if zones is None else series.where(F.col("h3_zone") < zones), tasks, sq.TRAIN_END, sq.EVAL_START, sq.EVAL_END, files.UK_HOLIDAYS, components)
+def forecast(s, d, tasks, components=False):
+    return m.forecasts(full_series(s, d), tasks, sq.TRAIN_END, sq.EVAL_START, sq.EVAL_END, files.UK_HOLIDAYS, components)
 
 
 def one(s, model):
@@ -101,7 +100,7 @@ QUERIES = {
     "breathing_transitions": breathing,
     "ols_forecast": lambda s, d: forecast(s, d, one(s, "ols")),
     "additive_forecast": lambda s, d: forecast(s, d, one(s, "full_temp_vis")),
-    "forecast_components": lambda s, d: forecast(s, d, one(s, "lags"), components=True, zones=3),
+    "forecast_components": lambda s, d: forecast(s, d, one(s, "lags"), components=True),
     "backtest": backtest,
     "grid_search": lambda s, d: m.grid_scores(forecast(s, d, m.grid_tasks(s, cps=(0.01, 0.1), sps=(1.0, 10.0)))),
     "tuned_metrics": tuned,

@@ -92,9 +92,9 @@ def breathing(s, d):
 
 def grid_round_trip(s, d):
     """Pickups to the grid and back, to five decimals."""
-    there = geo.with_grid(view(s, d, "quotes_raw").where("l_linenumber = 1"), "pickup_latitude", "pickup_longitude")
+    there = geo.with_grid(view(s, d, "quotes_raw"), "pickup_latitude", "pickup_longitude")
     back = geo.with_degrees(there, "east", "north")
-    return back.select("quote_id", *[rounded(F.col(c), 5).alias(c) for c in ("lat", "lon")])
+    return back.select("quote_id", "l_linenumber", *[rounded(F.col(c), 5).alias(c) for c in ("lat", "lon")])
 
 
 QUERIES = {
@@ -156,7 +156,7 @@ select point_id, block_id, 'road' as way from first union all select point_id, b
     "coverage_fraction": (lambda s, d: b.coverage_fraction(view(s, d, "blocks"), view(s, d, "parks"), "park"), "blocks parks", "with " + COVER + " select * from covered"),
     "filter_blocks": (lambda s, d: b.filter_blocks(b.coverage_fraction(view(s, d, "blocks"), view(s, d, "parks"), "park").withColumn("water_fraction", F.lit(0.0))), "blocks parks", "with " + COVER + " select *, 0e0 as water_fraction from covered where park_fraction < 1e-1"),
     "hex_cells": (lambda s, d: view(s, d, "points").select(geo.hex_cell(F.col("x"), F.col("y"), 500.0).alias("cell")).groupBy("cell").count().withColumnRenamed("count", "n"), None, None),
-    "grid_round_trip": (grid_round_trip, "quotes_raw", "select quote_id, floor(pickup_latitude*1e5+5e-1)/1e5 as lat, floor(pickup_longitude*1e5+5e-1)/1e5 as lon from quotes_raw where l_linenumber = 1"),
+    "grid_round_trip": (grid_round_trip, "quotes_raw", "select quote_id, l_linenumber, floor(pickup_latitude*1e5+5e-1)/1e5 as lat, floor(pickup_longitude*1e5+5e-1)/1e5 as lon from quotes_raw"),
     "grid_bbox": (lambda s, d: geo.project_bbox(s.createDataFrame([("all", *config.BBOX), ("centre", *config.CENTER_BBOX)], "box string, min_lon double, min_lat double, max_lon double, max_lat double")), None, None),
 }
 
