@@ -17,11 +17,11 @@ e is allocated to each band by cost: rows to index against the rows and company
 more than e dull segments.
 
 Larger buckets, of dull segments, are taken in two steps. Every set is paired with the
-bucket's first and with its predecessor, which is enough to tie a group of near copies
+bucket's first and with a few predecessors, which is enough to tie a group of near copies
 together. Then, after these pairs are verified and components found, sets with more than e
 dull segments and of different components are compared in the bucket by bitmaps that bound
-their difference from below, first those a few places apart, then, with the components that
-this gives, all others; pairs that the bound allows are verified. So no link is lost, and
+their difference from below, those a few places apart first and then, with the components
+that this gives, all; pairs that the bound allows are verified. So no link is lost, and
 neither a group of thousands of near copies nor one of texts that share a passage gives all
 its pairs. Equal sets are one class from the start.
 """
@@ -29,6 +29,7 @@ its pairs. Equal sets are one class from the start.
 from __future__ import annotations
 
 import math
+import re
 from bisect import bisect_left
 from functools import lru_cache
 
@@ -38,22 +39,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cordon.llm.common import UPPER, LOWER, partitions, written
+from cordon.llm.common import LOWER, UPPER, WS_CHARS, partitions, written
 
 #: Buckets of at most so many sets give all pairs at once.
 SMALL = 4
 #: With so many predecessors each set is paired in larger buckets.
-CHAIN = 4
-#: Cost of a set with too many dull segments, in rows; shingles of a text that belong to passages many texts share; most dull segments allowed for.
-COMPANY, COMMON, MOST_DULL = 2000.0, 60.0, 6
+CHAIN = 1
+#: Cost of a set with too many dull segments, in rows; shingles of a text that belong to passages many texts share;
+#: numbers of dull segments that are tried: up to so many, and their mean and up to so many standard deviations more.
+COMPANY, COMMON, FEW = 500.0, 30.0, 6
 SEEN = 200_000
 #: Sets of at most so many shingles bring their bitmaps to large buckets; larger ones are ruled out pair by pair.
 SKETCHED = 2048
+#: Places apart in the first comparison of large buckets.
+NEAR = 32
+#: Tasks that take the buckets in which one component is the largest.
+SPREAD = 2
 #: Sets of pairs are listed to all executors up to this many, 40 bytes each.
 LISTED = 500_000
 #: Rows of one bucket that wait for its end; of more, each is paired as it comes.
 HOLD = 4096
 
+WHITE = re.compile(rb"[\x20\x09-\x0D]")
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -64,19 +71,57 @@ def mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+_BYTES = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_WHITE = np.isin(np.arange(256), list(WS_CHARS.encode()))
+_BYTES[_WHITE] = 0
+_P = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Texts are hashed in stretches of about so many bytes, cut at white space.
+STRETCH = 1 << 20
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64, and of its inverse."""
+    if len(_powers[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for i, p in enumerate((_P, pow(_P, -1, 1 << 64))):
+            _powers[i] = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, p, np.uint64)])
+    return _powers[0], _powers[1]
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, wherever it stands: differences of one running sum over all bytes."""
+    out, at = [], 0
+    while at < len(data):
+        to = at + STRETCH
+        if to < len(data):
+            cut = WHITE.search(data, to)
+            to = cut.start() if cut else len(data)
+        part = np.frombuffer(data, np.uint8, min(to, len(data)) - at, at)
+        up, down = powers(len(part))
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTES[part] * up[: len(part)], out=total[1:])
+        edges = np.flatnonzero(np.diff(np.r_[True, _WHITE[part], True]))
+        starts, ends = edges[0::2], edges[1::2]
+        out.append((total[ends] - total[starts]) * down[starts])
+        at = to
+    h = np.concatenate(out) if out else np.empty(0, np.uint64)
+    return (h ^ (h >> np.uint64(31))) * ODD[6]
+
+
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles; with fewer words the whole sequence is one."""
-    found = (text or "").encode().translate(TO_LOWER).split()
-    if not found:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+    h = word_hashes((text or "").encode().translate(TO_LOWER))
+    if not len(h):
+        return h
     k = min(words, len(h))
     n = len(h) - k + 1
     s = np.full(n, k, np.uint64)
     for i in range(k):
         s = (s ^ h[i : i + n]) * ODD[i % 8]
         s ^= s >> np.uint64(32)
-    return np.unique(s)
+    s.sort()
+    return s[np.r_[True, s[1:] != s[:-1]]]
 
 
 def set_key(s: np.ndarray) -> bytes:
@@ -105,6 +150,12 @@ def folded(maps: list[bytes]) -> np.ndarray:
     return np.vstack(rows)
 
 
+def beyond(mean: float, k: int) -> float:
+    """Chance that a Poisson variable exceeds k."""
+    low = max(0, math.floor(mean - 12 * math.sqrt(mean)))
+    return max(0.0, 1 - sum(math.exp(i * math.log(mean) - mean - math.lgamma(i + 1)) for i in range(low, k + 1)))
+
+
 class Bands:
     """Size bands, and for each (H, segments, dull segments allowed for)."""
 
@@ -124,13 +175,19 @@ class Bands:
         return self.plans[band]
 
     def allocate(self, top: int) -> tuple[int, int, int]:
+        """The cheapest plan of a band up to size `top`, on the mean of sizes that use it: its own and those of the band before."""
         h = (100 - self.percent) * 2 * top // (100 + self.percent)
-        common, options = min(0.5, COMMON / top), []
-        for e in range(MOST_DULL + 1):
+        t, options = self.percent / 100, []
+        sizes = [max(1.0, top * x) for x in (1, (1 + t) / 2, t, t * (1 + t) / 2, t * t)]
+
+        def dull(n: float, m: int) -> float:
+            """Segments without an element of one's own; of these there are about as many as a Poisson law says."""
+            return m * math.exp(-n / m * (1 - min(0.5, COMMON / n)))
+
+        usual = dull(sizes[-1], h + 1)
+        for e in sorted({*range(FEW + 1), *(math.ceil(k * usual + z * math.sqrt(usual)) for k in (0.5, 1.0, 1.5, 2.0) for z in range(FEW + 1))}):
             m = h + 1 + e
-            dull = m * math.exp(-top / m * (1 - common))  # segments without an element of one's own; of these there are about as many as a Poisson law says
-            more = 1 - sum(math.exp(-dull) * dull**i / math.factorial(i) for i in range(e + 1))
-            options.append((m + more * (top + COMPANY), h, m, e))
+            options.append((m + sum(beyond(dull(n, m), e) * (n + COMPANY) for n in sizes) / len(sizes), h, m, e))
         return min(options)[1:]
 
 
@@ -162,7 +219,7 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
         else:
             found = [mix(sums ^ tag, band), mix((sums[segment] - mixed) ^ tag[segment], band)]
         out += [x & ~np.uint64(1) | parity for x in found]
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def slack(s: np.ndarray, percent: int) -> tuple[int, int]:
@@ -411,9 +468,9 @@ def allowed(n: int, m: int, maps: np.ndarray, percent: int) -> bool:
     return max(int(np.bitwise_count(maps[0] ^ maps[1]).sum()), abs(n - m)) <= (100 - percent) * (n + m) // (100 + percent)
 
 
-def cross(low: int, high: int, percent: int):
-    """Over rows (sig, comp, key, n, bits), sorted by sig and key: pairs of members of different components that
-    stand `low` to `high` - 1 places apart in a bucket and whose sizes and bitmaps allow them to be similar.
+def cross(percent: int, within: int | None):
+    """Over rows (sig, comp, key, n, bits) with a bucket's rows together, sorted by key: pairs of members of different components
+    whose sizes and bitmaps allow them to be similar, and with `within` at most so many places apart.
 
     Every such pair has a member outside the bucket's largest component, and only those look
     around. What is compared here are bitmaps in memory; no other pair leaves the bucket.
@@ -422,25 +479,37 @@ def cross(low: int, high: int, percent: int):
     def bucket(rows: pa.RecordBatch):
         comp, key, n = keys_of(rows.column(1)), keys_of(rows.column(2)), rows.column(3).to_numpy()
         _, code, count = np.unique(comp, axis=0, return_inverse=True, return_counts=True)
-        code, maps = code.reshape(-1), rows.column(4)
-        maps = None if maps.null_count else folded(maps.to_pylist())
+        code, maps = code.reshape(-1), rows.column(4).to_pylist()
+        mapped = np.array([x is not None for x in maps])
+        table = folded([x for x in maps if x is not None]) if mapped.any() else np.empty((0, 1), np.uint64)
+        line = np.cumsum(mapped) - 1
         for i in np.flatnonzero(code != np.argmax(count)):
-            # members of the largest component don't look around, so pairs with them are found from here on both sides
-            places = np.r_[max(0, i - high + 1) : max(0, i - low + 1), min(len(key), i + low) : min(len(key), i + high)]
-            places = places[code[places] != code[i]]
-            most = (100 - percent) * (n[places] + n[i]) // (100 + percent)
+            places = np.flatnonzero(code != code[i])
+            if within is not None:
+                places = places[abs(places - i) <= within]
             apart = abs(n[places] - n[i])
-            places = places[(apart if maps is None else np.maximum(np.bitwise_count(maps[places] ^ maps[i]).sum(1), apart)) <= most]
+            if mapped[i]:
+                known = mapped[places]
+                apart[known] = np.maximum(apart[known], np.bitwise_count(table[line[places[known]]] ^ table[line[i]]).sum(1))
+            places = places[apart <= (100 - percent) * (n[places] + n[i]) // (100 + percent)]
             mine = np.broadcast_to(key[i], (len(places), KEY))
             if len(places):
                 yield np.where((places < i)[:, None], np.hstack([key[places], mine]), np.hstack([mine, key[places]]))
 
-    def pair_batch(held):
+    def pair_batch(held, seen):
+        """The pairs that this task has not given yet, as far as it remembers."""
         rows = np.unique(np.vstack(held), axis=0)
+        words = rows.view(np.uint64)
+        tags = (words[:, 0] * ODD[1] ^ words[:, 2] * ODD[2]).tolist()
+        if len(seen) > 5 * SEEN:
+            seen.clear()
+        rows = rows[[t not in seen for t in tags]]
+        seen.update(tags)
         return pa.RecordBatch.from_arrays([keys_array(rows[:, :KEY]), keys_array(rows[:, KEY:])], ["a", "b"])
 
     def run(batches):
         hold: list[pa.RecordBatch] = []
+        seen: set[int] = set()
 
         def out(rows: pa.RecordBatch):
             sig, held, n = rows.column(0).to_numpy(), [], 0
@@ -450,16 +519,16 @@ def cross(low: int, high: int, percent: int):
                     held.append(found)
                     n += len(found)
                     if n > 20_000:
-                        yield pair_batch(held)
+                        yield pair_batch(held, seen)
                         held, n = [], 0
             if n:
-                yield pair_batch(held)
+                yield pair_batch(held, seen)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             sig = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(sig, sig[-1]))
+            cut = len(sig) - int(np.argmax(sig[::-1] != sig[-1])) if (sig != sig[-1]).any() else 0
             if cut or (hold and hold[-1].column(0)[-1].as_py() != sig[-1]):
                 yield from out(joined([*hold, batch.slice(0, cut)]))
                 hold = [batch.slice(cut)]
@@ -496,12 +565,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     dull = rest.groupBy("key", "parity").agg(F.count("*").alias("dull")).join(spare, "key").where(F.col("dull") > F.when(F.col("parity") == 0, F.col("even")).otherwise(F.col("odd")))
     rest = rest.join(dull.select("key", "parity"), ["key", "parity"]).select("sig", "key")
     carried = sketches.select("key", "n", F.when(F.col("n") <= SKETCHED, F.col("bits")).alias("bits"))
-    for low, high in ((1, 1 << 62),):
-        labelled = rest.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        mixed = labelled.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-        rest = written(labelled.join(mixed, "sig"), "mixed-buckets")
-        asked = rest.join(carried, "key").repartition(partitions(join.spark), "sig").sortWithinPartitions("sig", "key").select("sig", "comp", "key", "n", "bits")
-        asked = written(asked.mapInArrow(cross(low, high, percent), "a binary, b binary").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    for within in (NEAR, None):
+        sized = labels.join(labels.groupBy("comp").agg(F.count("*").alias("size")), "comp")
+        labelled = rest.join(sized, "key", "left").withColumns({"comp": F.coalesce("comp", "key"), "size": F.coalesce("size", F.lit(1))})
+        mixed = labelled.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max(F.struct("size", "comp"))["comp"].alias("lead")).where("x <> y").select("sig", "lead")
+        rest = written(labelled.drop("size").join(mixed, "sig"), "mixed-buckets")
+        # buckets that share their largest component have much the same sets: a few tasks take them, so that a pair is not given for each
+        asked = rest.join(carried, "key").withColumn("part", F.pmod(F.shiftright("sig", 1), F.lit(SPREAD))).repartition(partitions(join.spark), "lead", "part").sortWithinPartitions("lead", "sig", "key").select("sig", "comp", "key", "n", "bits")
+        asked = written(asked.mapInArrow(cross(percent, within), "a binary, b binary").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if not asked.isEmpty():
             links = links.union(join.verified(asked, sketches, classes))
             labels = components(links)

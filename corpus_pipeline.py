@@ -46,8 +46,9 @@ def distinct_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents whose doc_id is null are compared with nothing and stay.
     """
     found = jaccard_join.near_duplicates(docs, words=5, percent=80)
-    others = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    others = written(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "other-copies")
+    way = "broadcast" if others.count() <= jaccard_join.LISTED else "merge"  # while the list is short, texts stay where they are
+    return docs.join(others.hint(way), "doc_id", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
