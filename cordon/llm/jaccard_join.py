@@ -468,9 +468,10 @@ def allowed(n: int, m: int, maps: np.ndarray, percent: int) -> bool:
     return max(int(np.bitwise_count(maps[0] ^ maps[1]).sum()), abs(n - m)) <= (100 - percent) * (n + m) // (100 + percent)
 
 
-def cross(percent: int, within: int | None):
+def cross(percent: int, beyond_places: int, within: int | None):
     """Over rows (sig, comp, key, n, bits) with a bucket's rows together, sorted by key: pairs of members of different components
-    whose sizes and bitmaps allow them to be similar, and with `within` at most so many places apart.
+    whose sizes and bitmaps allow them to be similar, more than `beyond_places` and with `within` at most so many
+    places apart. A bucket has the same places each time, so pairs of an earlier step need not be given again.
 
     Every such pair has a member outside the bucket's largest component, and only those look
     around. What is compared here are bitmaps in memory; no other pair leaves the bucket.
@@ -485,8 +486,8 @@ def cross(percent: int, within: int | None):
         line = np.cumsum(mapped) - 1
         for i in np.flatnonzero(code != np.argmax(count)):
             places = np.flatnonzero(code != code[i])
-            if within is not None:
-                places = places[abs(places - i) <= within]
+            away = abs(places - i)
+            places = places[(away > beyond_places) & (away <= (len(key) if within is None else within))]
             apart = abs(n[places] - n[i])
             if mapped[i]:
                 known = mapped[places]
@@ -565,14 +566,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     dull = rest.groupBy("key", "parity").agg(F.count("*").alias("dull")).join(spare, "key").where(F.col("dull") > F.when(F.col("parity") == 0, F.col("even")).otherwise(F.col("odd")))
     rest = rest.join(dull.select("key", "parity"), ["key", "parity"]).select("sig", "key")
     carried = sketches.select("key", "n", F.when(F.col("n") <= SKETCHED, F.col("bits")).alias("bits"))
-    for within in (NEAR, None):
+    for beyond_places, within in ((0, NEAR), (NEAR, None)):
         sized = labels.join(labels.groupBy("comp").agg(F.count("*").alias("size")), "comp")
         labelled = rest.join(sized, "key", "left").withColumns({"comp": F.coalesce("comp", "key"), "size": F.coalesce("size", F.lit(1))})
         mixed = labelled.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max(F.struct("size", "comp"))["comp"].alias("lead")).where("x <> y").select("sig", "lead")
         rest = written(labelled.drop("size").join(mixed, "sig"), "mixed-buckets")
         # buckets that share their largest component have much the same sets: a few tasks take them, so that a pair is not given for each
         asked = rest.join(carried, "key").withColumn("part", F.pmod(F.shiftright("sig", 1), F.lit(SPREAD))).repartition(partitions(join.spark), "lead", "part").sortWithinPartitions("lead", "sig", "key").select("sig", "comp", "key", "n", "bits")
-        asked = written(asked.mapInArrow(cross(percent, within), "a binary, b binary").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        asked = written(asked.mapInArrow(cross(percent, beyond_places, within), "a binary, b binary").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if not asked.isEmpty():
             links = links.union(join.verified(asked, sketches, classes))
             labels = components(links)
