@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from cordon.llm.common import WS_CLASS, let
 
 BUCKETS = 10_000
-#: Bound on the trusted documents that are counted for the target; they are chosen by a hash of their id.
-MAX_TRUSTED = 20_000
 #: Documents with a lower mean log-likelihood ratio go.
 THRESHOLD = -0.35
 MIN_WORDS, REPEAT_PERCENT = 10, 20
@@ -78,13 +76,12 @@ def ngram_buckets(text: Column) -> Column:
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row, one array: the log-likelihood ratio of each bucket.
 
-    `trusted` (one column, id_col) is cut to MAX_TRUSTED ids, so it may be broadcast. Counts
-    of all documents are summed by bucket before the shuffle. Without trusted documents all
-    ratios are 0.
+    All documents of `trusted` (one column, id_col) are counted for the target. Counts are
+    summed by bucket before their shuffle; the join shuffles the texts once, at any size. Without trusted documents all ratios are 0.
     """
     spark = docs.sparkSession
-    chosen = trusted.select(F.col(id_col).alias("trusted_id")).distinct().orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(MAX_TRUSTED)
-    grams = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("trusted_id"), "left").select(F.col("trusted_id").isNotNull().cast("long").alias("good"), F.explode(ngram_buckets(F.col(text_col))).alias("b"))
+    chosen = trusted.select(F.col(id_col).alias("trusted_id")).distinct()
+    grams = docs.join(chosen.hint("merge"), F.col(id_col) == F.col("trusted_id"), "left").select(F.col("trusted_id").isNotNull().cast("long").alias("good"), F.explode(ngram_buckets(F.col(text_col))).alias("b"))
     counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good"))
     counts = spark.range(BUCKETS).join(F.broadcast(counts), F.col("id") == F.col("b"), "left").select("id", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
     one = counts.agg(F.array_sort(F.collect_list(F.struct("id", "raw", "good"))).alias("c"), F.sum("raw").alias("n"), F.sum("good").alias("g"))

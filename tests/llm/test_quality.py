@@ -53,6 +53,11 @@ def test_mean_ratio_against_brute_force(spark):
     assert len(buckets[2]) == 5 and buckets[4] == []
 
 
+def test_every_trusted_document_counts(spark):
+    df = spark.range(20_500).selectExpr("id as doc_id", "concat('word', id % 5000, ' text') as text")
+    assert {r.llr for r in quality_rules.quality_rules(df, df.select("doc_id")).collect()} == {0.0}
+
+
 def test_rules_without_trusted_documents_or_rows(hard, empty, labels):
     none = labels.where("false").select("doc_id")
     assert {r.llr for r in quality_rules.quality_rules(hard, none).collect()} == {0.0}
