@@ -19,7 +19,7 @@ from cordon.operators.series import mape
 #: Regressors of each variant.
 LAGS = ["lag_1w", "lag_2w"]
 VARIANTS = {"base": [], "lags": LAGS, "full_temp": [*LAGS, "temperature_2m"], "full_temp_vis": [*LAGS, "temperature_2m", "visibility"], "full": [*LAGS, "temperature_2m", "visibility", "precipitation_probability", "wind_speed_10m"]}
-CPS_GRID, SPS_GRID = (0.001, 0.01, 0.05, 0.1, 0.5), (0.1, 1.0, 5.0, 10.0)
+CPS_GRID, SPS_GRID = (0.001, 0.01, 0.05, 0.1, 0.5), (1.0, 5.0, 10.0, 20.0)
 
 
 def regressors(variant: str) -> list[str]:
@@ -132,7 +132,7 @@ MODELS = ["ols", *VARIANTS]
 
 
 def forecasts(series: DataFrame, tasks: DataFrame, train_until: str, predict_from: str, predict_until: str, holidays: dict[str, str] | None = None, components: bool = False) -> DataFrame:
-    """Forecasts of every zone for every row of `tasks` (h_days, model, cps, sps): a task a fit.
+    """Forecasts of every zone for every row of `tasks` (h_days, model, cps, sps): a task a fit. With a column h3_zone, a row holds for its zone only.
 
     h_days of history before the end of training are used (0: all). A zone's series is of
     calendar size; it is copied once a task row.
@@ -155,7 +155,8 @@ def forecasts(series: DataFrame, tasks: DataFrame, train_until: str, predict_fro
             out[k] = head[k]
         return out.reindex(columns=columns)
 
-    many = series.join(F.broadcast(tasks))  # tasks are a parameter table
+    # tasks are a parameter table, or come from other fits and may be long in coming
+    many = series.join(tasks.hint("merge"), "h3_zone") if "h3_zone" in tasks.columns else series.join(F.broadcast(tasks))
     return many.groupBy("h3_zone", "h_days", "model", "cps", "sps").applyInPandas(one, schema).withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("yhat_lower", "yhat_upper")})
 
 

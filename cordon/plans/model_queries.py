@@ -62,21 +62,28 @@ def backtest(s, d):
     return forecast(s, d, m.backtest_tasks(s)).groupBy("h3_zone", "h_days", "model").agg(sr.mape().alias("mape"))
 
 
+def grid(s, d):
+    """MAPE of each zone for all pairs of the grid."""
+    return m.grid_scores(forecast(s, d, m.grid_tasks(s)))
+
+
+def best_tasks(s, d, h_days):
+    """A task a zone: the production model with the zone's best parameters."""
+    best = sr.best_params(grid(s, d), (0.05, 10.0))
+    return best.select("h3_zone", F.lit(h_days).alias("h_days"), F.lit("full_temp_vis").alias("model"), "cps", "sps")
+
+
 def tuned(s, d):
-    """Best parameters of each zone and the day metrics of its forecast with them."""
-    scores = m.grid_scores(forecast(s, d, m.grid_tasks(s, cps=(0.01, 0.1), sps=(1.0, 10.0)))).drop("model")
-    best = sr.best_params(scores, (0.1, 10.0)).select(F.col("h3_zone").alias("z"), "cps", "sps")
-    refit = forecast(s, d, m.grid_tasks(s, cps=(0.01, 0.1), sps=(1.0, 10.0)))
-    kept = refit.join(best.withColumnRenamed("z", "h3_zone"), ["h3_zone", "cps", "sps"])
-    return sr.day_metrics(kept, sq.EVAL_START[:10])
+    """Day metrics of each zone's forecast with its best parameters."""
+    return sr.day_metrics(forecast(s, d, best_tasks(s, d, 21)), sq.EVAL_START[:10])
 
 
 def production(s, d):
-    """Forecast of the days after the data with historical conversion: the pipeline's last table."""
+    """Forecast of the days after the data, with each zone's best parameters and historical conversion: the pipeline's last table."""
     history_ = full_series(s, d)
     future = sr.future_grid(history_, sq.weather(s, d), sq.FUTURE_START, sq.FUTURE_END, m.VARIANTS["full"][2:]).withColumn("y", F.lit(None).cast("double"))
     both = history_.unionByName(future.select(*history_.columns))
-    f = m.forecasts(both, m.grid_tasks(s, "full_temp_vis", 0, (0.05,), (10.0,)), sq.END, sq.FUTURE_START, sq.FUTURE_END, files.UK_HOLIDAYS)
+    f = m.forecasts(both, best_tasks(s, d, 0), sq.END, sq.FUTURE_START, sq.FUTURE_END, files.UK_HOLIDAYS)
     out = sr.apply_conversion(f, sr.historical_conversion(sq.counts(s, d), sq.FUTURE_START))
     return out.select(*sr.FORECAST).orderBy("h3_zone", "ds")
 
@@ -102,7 +109,7 @@ QUERIES = {
     "additive_forecast": lambda s, d: forecast(s, d, one(s, "full_temp_vis")),
     "forecast_components": lambda s, d: forecast(s, d, one(s, "lags"), components=True),
     "backtest": backtest,
-    "grid_search": lambda s, d: m.grid_scores(forecast(s, d, m.grid_tasks(s, cps=(0.01, 0.1), sps=(1.0, 10.0)))),
+    "grid_search": grid,
     "tuned_metrics": tuned,
     "production_forecast": production,
     "road_polygons": road_polygons,
