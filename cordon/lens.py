@@ -42,7 +42,7 @@ from (select v.n_nationkey as vertical, a.n_nationkey as k, b.n_nationkey as i f
  ((o_custkey*104729+o_orderkey)%5607)*1e0-300e0 as y from {orders}""",
     "parks": """select p_partkey as park_id, ((p_partkey*977)%4800)*1e0 as x0, ((p_partkey*1409)%4800)*1e0 as y0,
  ((p_partkey*977)%4800)*1e0+60e0+(p_partkey%5)*40e0 as x1, ((p_partkey*1409)%4800)*1e0+60e0+(p_partkey%7)*40e0 as y1
-from {part} where p_partkey<60""",
+from {part}""",
     "quotes_hourly_h3": """select user_id%14 as h3_zone, cast(date_trunc('hour',ts) as :NTZ:) as hour_bucket, count(*) as quote_count,
  sum(case when event_type='purchase' then 1 else 0 end) as trip_count,
  sum(case when event_type='purchase' then 1 else 0 end)*1e0/count(*) as conversion_rate
