@@ -331,12 +331,12 @@ def meet(batches):
         last = int(np.searchsorted(sig, sig[-1]))
         if len(sig) - last > HOLD:
             done_sig, done_key = shared_only(sig, key)
-            if len(done_sig):
-                tail = done_key[done_sig == sig[-1]]
-                yield from out(*bucket_rows(done_sig, done_key))
-                going = (sig[-1], tail[0], tail[-1]) if len(tail) else (sig[-1], key[-1], key[-1])
-            else:
-                going = (sig[-1], key[-1], key[-1])
+            tail = done_key[done_sig == sig[-1]] if len(done_sig) else key[-1:]
+            pairs, rest = bucket_rows(done_sig, done_key) if len(done_sig) else ([], [])
+            if len(tail) <= SMALL:  # a bucket that goes on is large, however few keys it has so far
+                rest.append((tail, np.full(len(tail), sig[-1])))
+            yield from out(pairs, rest)
+            going = (sig[-1], tail[0], tail[-1])
             hold_sig, hold_key = sig[:0], key[:0]
         else:
             done_sig, done_key = shared_only(sig[:last], key[:last])

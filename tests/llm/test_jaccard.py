@@ -82,6 +82,18 @@ def test_small_hold_streams_large_buckets(spark, mixed, monkeypatch):
             assert reach == members
 
 
+@pytest.mark.parametrize("early", [1, 2, 3, 4])
+def test_few_keys_of_a_bucket_cut_at_hold_are_kept(monkeypatch, early):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jj, "HOLD", 10)
+    keys = np.arange(9 * jj.KEY, dtype=np.uint8).reshape(9, jj.KEY)
+    rows = np.vstack([np.repeat(keys[:early], 12, axis=0), keys[early:]])
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.full(len(x), 7)), jj.keys_array(x)], ["sig", "key"]) for x in (rows[: 12 * early], rows[12 * early :])]
+    kept = {r["a"] for b in jj.meet(batches) for r in b.to_pylist() if r["sig"] is not None}
+    assert kept == {bytes(k) for k in keys}
+
+
 def test_similar_sets_share_a_signature_or_are_both_dull():
     """The pigeonhole claim, for random pairs at the limit."""
     rng = np.random.default_rng(3)
