@@ -9,9 +9,13 @@ forms and the like go in any case, and if the page names its article (<article>,
 role main), lines inside it stay and lines outside it go. Differencing decides all lines of
 pages that don't.
 
+Neighbours that are equal line by line are one run, and runs are what is aligned: each with
+the nearest pages of its host that differ from it, for all its pages at once.
+
 Only hashes of lines travel to find and align neighbours. A host with a third of all pages
-is no single group: pages are ranked over all hosts, range-partitioned, and neighbours meet
-by an equi-join on rank.
+is no single group: runs are numbered over all hosts, range-partitioned, and neighbours meet
+by an equi-join on that number. A run's result reaches its pages by its pieces, one a
+partition.
 """
 
 from __future__ import annotations
@@ -187,16 +191,27 @@ def shared(a: list[int], b: list[int]) -> list[int]:
     return sorted(ends + found)
 
 
+def pieces(batches):
+    """Sorted rows (host, i, v, at, lines) of a partition with `piece`, which grows where host or lines differ from the row before, and `lead`, whether they do."""
+    before, n = None, -1
+    for batch in batches:
+        piece, lead = [], []
+        for host, found in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist()):
+            lead.append((host, found) != before)
+            n += lead[-1]
+            piece.append(n)
+            before = (host, found)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(piece, pa.int64()), pa.array(lead, pa.bool_())], [*batch.schema.names, "piece", "lead"])
+
+
 def alignment(batches):
-    """Rows (i, v, lines, i2, v2, lines2) of neighbours to (i, v, gone): for each page, the numbers of the lines it shares."""
+    """Rows (run, lines, lines2) of neighbouring runs to (run, gone): for each of the two, the numbers of the lines it shares."""
     for batch in batches:
-        i, v, gone = [], [], []
-        for i1, v1, a, i2, v2, b in zip(*(c.to_pylist() for c in batch.columns)):
-            if a != b:
-                i += [i1, i2]
-                v += [v1, v2]
-                gone += [shared(a, b), shared(b, a)]
-        yield pa.RecordBatch.from_arrays([pa.array(i, batch.schema.field(0).type), pa.array(v, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["i", "v", "gone"])
+        run, gone = [], []
+        for r, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            run += [r, r + 1]
+            gone += [shared(a, b), shared(b, a)]
+        yield pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["run", "gone"])
 
 
 def main_text(parsed: list[tuple[str, int]], gone: set[int], markup: bool = True) -> str:
@@ -229,19 +244,25 @@ def extract(pages: DataFrame, markup: bool = True, id_col: str = "page_id", url_
     # written before the range partitioning, which reads it twice: for splitters and for rows
     slim = written(rows.select("h", "host", "path", "i", "v").mapInArrow(hashes, f"host string, path string, i {kind}, v long, lines array<long>"), "page-hashes")
     slim = slim.repartitionByRange(partitions(spark), "host", "path", "i", "v").sortWithinPartitions("host", "path", "i", "v").withColumn("at", F.monotonically_increasing_id())
-    slim = written(slim, "page-lines")
-    # ranks over all partitions: a row's number in its partition and the rows of partitions before
-    part = F.shiftright("at", 33).alias("part")
-    sizes = [(r["part"], r["count"]) for r in slim.groupBy(part).count().orderBy("part").collect()]  # a row a partition
-    firsts, n = [], 0
-    for p, c in sizes:
-        firsts.append((p, n))
-        n += c
-    firsts = spark.createDataFrame(firsts, "part long, first long")
-    ranked = slim.join(F.broadcast(firsts), F.shiftright("at", 33) == F.col("part")).withColumn("rank", F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1))
-    after = ranked.select((F.col("rank") - 1).alias("rank"), F.col("host").alias("host2"), F.col("i").alias("i2"), F.col("v").alias("v2"), F.col("lines").alias("lines2"))
-    met = ranked.join(after, "rank").where(F.col("host") == F.col("host2")).select("i", "v", "lines", "i2", "v2", "lines2")
-    gone = met.mapInArrow(alignment, f"i {kind}, v long, gone array<int>").groupBy(F.col("i").alias("i2"), F.col("v").alias("v2")).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    slim = slim.select("host", "i", "v", "at", "lines").mapInArrow(pieces, f"host string, i {kind}, v long, at long, lines array<long>, piece long, lead boolean")
+    slim = written(slim.withColumn("part", F.shiftright("at", 33)), "page-lines")
+    # numbers of runs over all partitions: a piece's number in its partition and the runs before; a partition may begin within a run
+    page = F.struct("host", F.size("lines").alias("size"), F.xxhash64("lines").alias("hash"))
+    ends = slim.groupBy("part").agg(F.min_by(page, "at").alias("first"), F.max_by(page, "at").alias("last"), F.max("piece").alias("top")).orderBy("part").collect()  # a row a partition
+    firsts, run, last = [], -1, None
+    for r in ends:
+        goes_on = r["first"] == last
+        firsts.append((r["part"], run if goes_on else run + 1, goes_on))
+        run, last = firsts[-1][1] + r["top"], r["last"]
+    firsts = F.broadcast(spark.createDataFrame(firsts, "part long, first long, goes_on boolean"))
+    run = (F.col("first") + F.col("piece")).alias("run")
+    leads = slim.where("lead").join(firsts, "part")
+    runs = leads.where("piece > 0 or not goes_on").select(run, "host", "lines")
+    after = runs.select((F.col("run") - 1).alias("run"), F.col("host").alias("host2"), F.col("lines").alias("lines2"))
+    met = runs.join(after, "run").where(F.col("host") == F.col("host2")).select("run", "lines", "lines2")
+    gone = met.mapInArrow(alignment, "run long, gone array<int>").groupBy("run").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    gone = leads.select("part", "piece", run).join(gone, "run").select("part", "piece", "gone")
+    gone = slim.select(F.col("i").alias("i2"), F.col("v").alias("v2"), "part", "piece").join(gone, ["part", "piece"]).groupBy("i2", "v2").agg(F.first("gone").alias("gone"))
 
     def texts(batches):
         for batch in batches:

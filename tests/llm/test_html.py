@@ -48,6 +48,20 @@ def test_template_without_markup_goes_by_differencing(spark):
     assert hx.extract(df.where("false")).count() == 0
 
 
+def test_runs_of_equal_pages_meet_the_nearest_different_page(spark):
+    page = lambda story: f"<div>Menu</div><p>{story}</p><div>Imprint</div>"
+    stories = ["first", *["copy"] * 40, "other", *["again"] * 3]
+    rows = [(i, f"http://h.example/{i:03}", page(s)) for i, s in enumerate(stories)] + [(100 + i, f"http://only.example/{i}", page("copy")) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = dict(enumerate(stories)) | {100 + i: "Menu copy Imprint" for i in range(3)}
+    for n in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            assert {r.page_id: r.text for r in hx.extract(df).collect()} == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
 def test_pages_of_the_table(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.page_id: r.text for r in hx.extract(pages).collect()}
