@@ -16,14 +16,19 @@ one element.
 e is allocated to each band by cost: rows to index against the rows and company of sets with
 more than e dull segments.
 
-Larger buckets, of dull segments, are taken in two steps. Every set is paired with the
-bucket's first and with a few predecessors, which is enough to tie a group of near copies
-together. Then, after these pairs are verified and components found, sets with more than e
-dull segments and of different components are compared in the bucket by bitmaps that bound
-their difference from below, those a few places apart first and then, with the components
-that this gives, all; pairs that the bound allows are verified. So no link is lost, and
-neither a group of thousands of near copies nor one of texts that share a passage gives all
-its pairs. Equal sets are one class from the start.
+Larger buckets, of dull segments, are taken in three steps. Every set is paired with two of
+its buckets' heads, which is enough to tie most of a group of near copies together. Then,
+after these pairs are verified and components found, sets with more than e dull segments look
+around in their buckets: first each set outside the bucket's largest component for the
+likeliest partner in one block of the bucket, then, with the components that this gives, for
+all partners of other components in all blocks. They are compared by odd sketches, bitmaps
+that bound the difference of two sets from below; pairs that the bound allows are verified.
+So no link is lost, and neither a group of thousands of near copies nor one of texts that
+share a passage gives all its pairs. A task holds two blocks of a bucket, whatever the
+bucket's size. Equal sets are one class from the start.
+
+Words are hashed by XXH3 to 128 bits, shingles from these to 128 bits in two lanes. Sets are
+equal, and elements shared, if both lanes are.
 """
 
 from __future__ import annotations
@@ -43,22 +48,21 @@ from cordon.llm.common import LOWER, UPPER, WS_CHARS, partitions, written
 
 #: Buckets of at most so many sets give all pairs at once.
 SMALL = 4
-#: With so many predecessors each set is paired in larger buckets.
-CHAIN = 1
 #: Cost of a set with too many dull segments, in rows; shingles of a text that belong to passages many texts share;
 #: numbers of dull segments that are tried: up to so many, and their mean and up to so many standard deviations more.
 COMPANY, COMMON, FEW = 500.0, 30.0, 6
-SEEN = 200_000
-#: Sets of at most so many shingles bring their bitmaps to large buckets; larger ones are ruled out pair by pair.
-SKETCHED = 2048
-#: Places apart in the first comparison of large buckets.
-NEAR = 32
-#: Tasks that take the buckets in which one component is the largest.
-SPREAD = 2
+#: Sets that a task remembers as indexed, words whose hashes a worker remembers, and the longest such words in bytes.
+SEEN, KNOWN, KNOWN_BYTES = 200_000, 200_000, 64
+#: Bits of the widest sketch. It rules pairs out up to some 200,000 shingles; larger sets are told apart by size and text only.
+WIDEST = 1 << 16
+#: Sets in a block of a large bucket.
+BLOCK = 2048
 #: Sets of pairs are listed to all executors up to this many, 40 bytes each.
 LISTED = 500_000
-#: Rows of one bucket that wait for its end; of more, each is paired as it comes.
+#: Rows of one bucket that wait for its end; of more, each is given as it comes.
 HOLD = 4096
+#: Texts are cut into words in stretches of about so many bytes.
+STRETCH = 1 << 20
 
 WHITE = re.compile(rb"[\x20\x09-\x0D]")
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -71,81 +75,76 @@ def mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-_BYTES = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_WHITE = np.isin(np.arange(256), list(WS_CHARS.encode()))
-_BYTES[_WHITE] = 0
-_P = 0x9E3779B97F4A7C15
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-#: Texts are hashed in stretches of about so many bytes, cut at white space.
-STRETCH = 1 << 20
+class Words(dict):
+    """128-bit hashes of words as bytes, made when first asked for. Long words aren't kept, and at KNOWN words all are dropped."""
 
+    def __missing__(self, word: bytes) -> bytes:
+        found = xxhash.xxh3_128_digest(word)
+        if len(word) <= KNOWN_BYTES:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[word] = found
+        return found
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2^64, and of its inverse."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, p in enumerate((_P, pow(_P, -1, 1 << 64))):
-            _powers[i] = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, p, np.uint64)])
-    return _powers[0], _powers[1]
+
+_hash_of = Words().__getitem__
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, wherever it stands: differences of one running sum over all bytes."""
+    """Both lanes of each word's hash, in order (n x 2)."""
     out, at = [], 0
     while at < len(data):
-        to = at + STRETCH
-        if to < len(data):
-            cut = WHITE.search(data, to)
-            to = cut.start() if cut else len(data)
-        part = np.frombuffer(data, np.uint8, min(to, len(data)) - at, at)
-        up, down = powers(len(part))
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTES[part] * up[: len(part)], out=total[1:])
-        edges = np.flatnonzero(np.diff(np.r_[True, _WHITE[part], True]))
-        starts, ends = edges[0::2], edges[1::2]
-        out.append((total[ends] - total[starts]) * down[starts])
+        cut = WHITE.search(data, at + STRETCH) if at + STRETCH < len(data) else None
+        to = cut.start() if cut else len(data)
+        out.append(b"".join(map(_hash_of, data[at:to].split())))
         at = to
-    h = np.concatenate(out) if out else np.empty(0, np.uint64)
-    return (h ^ (h >> np.uint64(31))) * ODD[6]
+    return np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2)
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles; with fewer words the whole sequence is one."""
+    """Distinct 128-bit hashes of the text's shingles, in order, as two rows of 64 bits; with fewer words the whole sequence is one."""
     h = word_hashes((text or "").encode().translate(TO_LOWER))
     if not len(h):
-        return h
+        return np.empty((2, 0), np.uint64)
     k = min(words, len(h))
     n = len(h) - k + 1
-    s = np.full(n, k, np.uint64)
-    for i in range(k):
-        s = (s ^ h[i : i + n]) * ODD[i % 8]
-        s ^= s >> np.uint64(32)
-    s.sort()
-    return s[np.r_[True, s[1:] != s[:-1]]]
+    lanes = []
+    for lane in (0, 1):
+        x = np.full(n, k + 1000 * lane, np.uint64)
+        for i in range(k):
+            x = (x ^ h[i : i + n, lane]) * ODD[(i + 3 * lane) % 8]
+            x ^= x >> np.uint64(32)
+        lanes.append(x)
+    s = np.vstack(lanes)
+    s = s[:, np.argsort(s[0])]
+    if (s[0, 1:] == s[0, :-1]).any():
+        s = s[:, np.lexsort((s[1], s[0]))]
+        s = s[:, np.r_[True, (s[:, 1:] != s[:, :-1]).any(0)]]
+    return s
 
 
 def set_key(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """A bit for each element, by hash, in 2 to 4 bits an element (1 to 2 for large sets). Bits in which two sets' bitmaps differ need an
-    element each in which the sets differ; this bounds their difference from below."""
+def sketch(s: np.ndarray) -> bytes:
+    """Odd sketch of a set (first lane): each bit is the parity of the elements that fall on it, in 4 to 8 bits an element (2 to 4 for
+    large sets). Bits in which two sketches differ need an element each in which the sets differ; this bounds their difference
+    from below, and shared elements don't blur it."""
     width = 64
-    while width < len(s) * (2 if len(s) <= 256 else 1):
+    while width < WIDEST and width < len(s) * (4 if len(s) <= 1024 else 2):
         width *= 2
-    bits = np.zeros(width, np.uint8)
-    bits[((s * ODD[5]) >> np.uint64(20)) & np.uint64(width - 1)] = 1
-    return np.packbits(bits).tobytes()
+    bits = np.bincount((((s * ODD[5]) >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
 def folded(maps: list[bytes]) -> np.ndarray:
-    """Bitmaps as rows of words, all as narrow as the narrowest."""
+    """Sketches as rows of words, all as narrow as the narrowest: a sketch's halves, one on the other, are the sketch of half the width."""
     width, rows = min(map(len, maps)), []
     for x in maps:
         row = np.frombuffer(x, np.uint64)
         while len(row) * 8 > width:
-            row = row[: len(row) // 2] | row[len(row) // 2 :]
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
         rows.append(row)
     return np.vstack(rows)
 
@@ -235,8 +234,10 @@ def slack(s: np.ndarray, percent: int) -> tuple[int, int]:
 
 
 def similar(r: np.ndarray, s: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(r, s, assume_unique=True))
-    return both > 0 and 100 * both >= percent * (len(r) + len(s) - both)
+    both = np.hstack([r, s])
+    both = both[:, np.lexsort((both[1], both[0]))]
+    shared = int((both[:, 1:] == both[:, :-1]).all(0).sum())
+    return shared > 0 and 100 * shared >= percent * (both.shape[1] - shared)
 
 
 KEY = 16
@@ -261,58 +262,54 @@ def differs(keys: np.ndarray) -> np.ndarray:
 BUCKETS = "a binary, b binary, sig long"
 
 
-def bucket_rows(sig: np.ndarray, key: np.ndarray, first: np.ndarray | None = None, before: np.ndarray | None = None):
-    """Of sorted rows, whole buckets: pairs (a, b, null) and rows to keep (a, null, sig) of larger buckets.
-
-    With `first` and `before` the rows go on with one large bucket.
-    """
+def bucket_rows(sig: np.ndarray, key: np.ndarray):
+    """Of sorted rows, whole buckets: pairs (a, b, null), and of larger buckets rows (member, head, sig)."""
     pairs, rest = [], []
-    new = np.r_[first is None, sig[1:] != sig[:-1]]
+    new = np.r_[True, sig[1:] != sig[:-1]]
     starts = np.flatnonzero(new)
     sizes = np.diff(np.r_[starts, len(sig)])
-    if first is not None:
-        pairs += [(np.broadcast_to(first, key.shape), key), (np.vstack([before[None], key[:-1]]), key)]
-        return pairs, [(key, sig)]
     for k in range(2, SMALL + 1):
         at = starts[sizes == k]
         pairs += [(key[at + i], key[at + j]) for i in range(k) for j in range(i + 1, k)] if len(at) else []
     large = np.repeat(sizes > SMALL, sizes)
     if large.any():
-        head = np.repeat(starts, sizes)
         rows = np.flatnonzero(large)
-        tail = rows[~new[rows]]
-        pairs.append((key[head[tail]], key[tail]))
-        for k in range(1, CHAIN + 1):
-            far = tail[tail - k > head[tail]]
-            pairs.append((key[far - k], key[far]))
-        rest.append((key[rows], sig[rows]))
+        rest.append((key[rows], key[np.repeat(starts, sizes)[rows]], sig[rows]))
     return pairs, rest
 
 
+def distinct_rows(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by both, each once."""
+    words = key.view(">u8")
+    order = np.lexsort((words[:, 1], words[:, 0], sig))
+    sig, key = sig[order], key[order]
+    once = differs(key) | np.r_[True, sig[1:] != sig[:-1]] if len(sig) else np.empty(0, bool)
+    return sig[once], key[once]
+
+
 def meet(batches):
-    """Rows (sig, key), sorted by sig, to what bucket_rows gives. A bucket's rows wait for its end, but for HOLD at most."""
+    """Rows (sig, key), sorted by sig, to what bucket_rows gives. A bucket's rows wait for its end, but for HOLD at most.
+
+    A bucket that goes on beyond HOLD is large, however few keys it has: all its keys are
+    given as members, under the head that it had then.
+    """
     hold_sig, hold_key = np.empty(0, np.int64), np.empty((0, KEY), np.uint8)
-    going: tuple | None = None  # a large bucket that has begun: sig, first key, last key
+    going: tuple | None = None  # a large bucket that has begun: sig, head
 
     def out(pairs, rest):
         pairs = [(a, b) for a, b in pairs if len(a)]
         if pairs:
-            a, b = np.vstack([x for x, _ in pairs]), np.vstack([x for _, x in pairs])
-            both = ordered(a, b)
+            both = ordered(np.vstack([x for x, _ in pairs]), np.vstack([x for _, x in pairs]))
             yield pa.RecordBatch.from_arrays([keys_array(both[:, :KEY]), keys_array(both[:, KEY:]), pa.nulls(len(both), pa.int64())], ["a", "b", "sig"])
-        for key, sig in rest:
-            yield pa.RecordBatch.from_arrays([keys_array(key), pa.nulls(len(key), pa.binary()), pa.array(sig)], ["a", "b", "sig"])
+        for key, head, sig in rest:
+            yield pa.RecordBatch.from_arrays([keys_array(key), keys_array(head), pa.array(sig)], ["a", "b", "sig"])
 
-    def shared_only(sig, key):
-        """Rows of buckets with two different keys at least, sorted by both, each once. Most signatures are of one set."""
+    def finished(sig, key):
+        """Rows of buckets with two different keys at least, each once. Most signatures are of one set."""
         same = sig[1:] == sig[:-1]
         some = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
-        sig, key = sig[some], key[some]
-        words = key.view(">u8")
-        order = np.lexsort((words[:, 1], words[:, 0], sig))
-        sig, key = sig[order], key[order]
-        once = differs(key) | np.r_[True, sig[1:] != sig[:-1]] if len(sig) else np.empty(0, bool)
-        return sig[once], key[once]
+        sig, key = distinct_rows(sig[some], key[some])
+        return out(*bucket_rows(sig, key)) if len(sig) else ()
 
     for batch in batches:
         if not batch.num_rows:
@@ -321,32 +318,24 @@ def meet(batches):
         if going is not None:
             n = len(sig) if sig[-1] == going[0] else int(np.argmax(sig != going[0]))
             if n:
-                yield from out(*bucket_rows(sig[:n], key[:n], going[1], going[2]))
-                going = (going[0], going[1], key[n - 1])
+                more, members = distinct_rows(sig[:n], key[:n])
+                yield from out([], [(members, np.broadcast_to(going[1], members.shape), more)])
             if n == len(sig):
                 continue
             going, sig, key = None, sig[n:], key[n:]
         if len(hold_sig):
             sig, key = np.concatenate([hold_sig, sig]), np.vstack([hold_key, key])
         last = int(np.searchsorted(sig, sig[-1]))
-        if len(sig) - last > HOLD:
-            done_sig, done_key = shared_only(sig, key)
-            tail = done_key[done_sig == sig[-1]] if len(done_sig) else key[-1:]
-            pairs, rest = bucket_rows(done_sig, done_key) if len(done_sig) else ([], [])
-            if len(tail) <= SMALL:  # a bucket that goes on is large, however few keys it has so far
-                rest.append((tail, np.full(len(tail), sig[-1])))
-            yield from out(pairs, rest)
-            going = (sig[-1], tail[0], tail[-1])
+        if last:
+            yield from finished(sig[:last], key[:last])
+        hold_sig, hold_key = sig[last:], key[last:]
+        if len(hold_sig) > HOLD:
+            begun, members = distinct_rows(hold_sig, hold_key)
+            going = (begun[0], members[0])
+            yield from out([], [(members, np.broadcast_to(members[0], members.shape), begun)])
             hold_sig, hold_key = sig[:0], key[:0]
-        else:
-            done_sig, done_key = shared_only(sig[:last], key[:last])
-            if len(done_sig):
-                yield from out(*bucket_rows(done_sig, done_key))
-            hold_sig, hold_key = sig[last:], key[last:]
     if len(hold_sig):
-        done_sig, done_key = shared_only(hold_sig, hold_key)
-        if len(done_sig):
-            yield from out(*bucket_rows(done_sig, done_key))
+        yield from finished(hold_sig, hold_key)
 
 
 def ordered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -386,9 +375,11 @@ class Join:
         def run(batches):
             for batch in batches:
                 found = [shingles(t, words) for t in batch.column(2).to_pylist()]
-                spare = [slack(s, percent) if len(s) else (None, None) for s in found]
+                spare = [slack(s[0], percent) if s.size else (None, None) for s in found]
                 slacks = [pa.array([x[i] for x in spare], pa.int32()) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array([set_key(s) if len(s) else None for s in found], pa.binary()), pa.array([bitmap(s) if len(s) else None for s in found], pa.binary()), *slacks], ["d", "v", "n", "key", "bits", "even", "odd"])
+                keys = pa.array([set_key(s) if s.size else None for s in found], pa.binary())
+                bits = pa.array([sketch(s[0]) if s.size else None for s in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.shape[1] for s in found], pa.int64()), keys, bits, *slacks], ["d", "v", "n", "key", "bits", "even", "odd"])
 
         return self.docs.select("d", "v", "t").mapInArrow(run, f"d {self.kind}, v long, n long, key binary, bits binary, even int, odd int")
 
@@ -403,12 +394,12 @@ class Join:
                     sigs, keys = [], []
                     for t in texts.slice(k, 2000).to_pylist():
                         s = shingles(t, words)
-                        if not len(s) or (key := set_key(s)) in seen:
+                        if not s.size or (key := set_key(s)) in seen:
                             continue
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(key)
-                        sigs.append(signatures(s, percent))
+                        sigs.append(signatures(s[0], percent))
                         keys.append(key)
                     if sigs:
                         rows = np.repeat(np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEY), [len(x) for x in sigs], axis=0)
@@ -417,15 +408,11 @@ class Join:
         rows = self.docs.select("t").mapInArrow(run, "sig long, key binary")
         return rows.repartition(partitions(self.spark), "sig").sortWithinPartitions("sig").mapInArrow(meet, BUCKETS)
 
-    def verified(self, pairs: DataFrame, sketches: DataFrame, classes: DataFrame) -> DataFrame:
-        """Those of `pairs` (a, b) whose sets are similar: bitmaps rule most others out, texts decide.
+    def possible(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+        """Those of `pairs` (a, b) that sizes and sketches don't rule out."""
+        percent = self.percent
 
-        Only texts of pairs that are left are sent. While those are few enough to be listed
-        to all executors (LISTED), they are picked where the table is read.
-        """
-        words, percent = self.words, self.percent
-
-        def possible(batches):
+        def run(batches):
             for batch in batches:
                 n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
                 ok = [allowed(int(x), int(y), folded([u, v]), percent) for x, u, y, v in zip(n, batch.column(3).to_pylist(), m, batch.column(5).to_pylist())]
@@ -434,12 +421,20 @@ class Join:
 
         right = sketches.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
         left = sketches.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-        pairs = written(pairs.join(right, "b").join(left, "a").select("a", "b", "na", "ba", "nb", "bb").mapInArrow(possible, "a binary, b binary"), "possible-pairs")
+        return written(pairs.join(right, "b").join(left, "a").select("a", "b", "na", "ba", "nb", "bb").mapInArrow(run, "a binary, b binary"), "possible-pairs")
+
+    def verified(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """Those of `pairs` (a, b), a written table, whose sets are similar, by their texts.
+
+        Only texts of these pairs are sent. While those are few enough to be listed to all
+        executors (LISTED), they are picked where the table is read.
+        """
+        words, percent = self.words, self.percent
         need = written(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes, "key").select("key", "first", F.col("v").alias("v2")), "pair-keys")
         way = "broadcast" if need.count() <= LISTED else "merge"
-        texts = self.docs.join(need.hint(way), (F.col("d") == F.col("first")) & (F.col("v") == F.col("v2"))).select("key", "t").dropDuplicates(["key"])
+        texts = self.docs.join(need.hint(way), F.col("d").eqNullSafe(F.col("first")) & (F.col("v") == F.col("v2"))).select("key", "t").dropDuplicates(["key"])
 
-        def decided(batches):
+        def run(batches):
             held: dict[bytes, np.ndarray] = {}
 
             def of(key, text):
@@ -460,87 +455,107 @@ class Join:
         texts = written(texts, "pair-texts")
         right = texts.select(F.col("key").alias("b"), F.col("t").alias("tb")).hint("merge")
         left = texts.select(F.col("key").alias("a"), F.col("t").alias("ta")).hint("merge")
-        return written(pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(decided, "a binary, b binary"), "links")
+        return written(pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary"), "links")
 
+    def around(self, rest: DataFrame, labels: DataFrame, sketches: DataFrame, everywhere: bool) -> DataFrame:
+        """Pairs (a, b) of members of a bucket (sig, key) in different components that sizes and sketches allow to be similar.
 
-def allowed(n: int, m: int, maps: np.ndarray, percent: int) -> bool:
-    """Whether sets of these sizes and bitmaps may be similar."""
-    return max(int(np.bitwise_count(maps[0] ^ maps[1]).sum()), abs(n - m)) <= (100 - percent) * (n + m) // (100 + percent)
+        Members outside the bucket's largest component look around in blocks of it: all in
+        all of them and give every such pair, or each in one of them and give their likeliest.
+        """
+        labelled = rest.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        shares = labelled.groupBy("sig", "comp").agg(F.count("*").alias("n"))
+        mixed = shares.groupBy("sig").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("lead"), F.count("*").alias("comps")).where("comps > 1")
+        blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+        mixed = mixed.select("sig", F.col("lead.comp").alias("lead"), blocks(F.col("all")).alias("columns"), blocks(F.col("all") - F.col("lead.n")).alias("rows"))
+        members = labelled.join(mixed, "sig").join(sketches.select("key", "n", "bits"), "key")
+        place = lambda n, salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.col(n)).cast("int")
+        minor = F.col("comp") != F.col("lead")
+        # one row for each meeting of two blocks, of those that ask and of those that are asked
+        line = lambda u, v, asks: F.struct(u.cast("int").alias("u"), v.cast("int").alias("v"), F.lit(asks).alias("asks"))
+        each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        if everywhere:
+            asking = F.transform(each("columns"), lambda v: line(place("rows", 1), v, True))
+            asked = F.transform(each("rows"), lambda u: line(u, place("columns", 2), False))
+        else:
+            asking, asked = (F.array(line(F.lit(0), place("columns", 2), asks)) for asks in (True, False))
+        rows = members.withColumn("at", F.explode(F.when(minor, F.concat(asking, asked)).otherwise(asked)))
+        rows = rows.select("sig", "at.u", "at.v", "at.asks", minor.alias("minor"), "comp", "key", "n", "bits").repartition(partitions(self.spark), "sig", "u", "v").sortWithinPartitions("sig", "u", "v")
+        return rows.mapInArrow(meetings(self.percent, everywhere), "a binary, b binary").distinct()
 
 
-def cross(percent: int, beyond_places: int, within: int | None):
-    """Over rows (sig, comp, key, n, bits) with a bucket's rows together, sorted by key: pairs of members of different components
-    whose sizes and bitmaps allow them to be similar, more than `beyond_places` and with `within` at most so many
-    places apart. A bucket has the same places each time, so pairs of an earlier step need not be given again.
+def allowed(n: int, m: int, maps: np.ndarray, percent: int) -> bool:
+    """Whether sets of these sizes and sketches may be similar."""
+    return max(int(np.bitwise_count(maps[0] ^ maps[1]).sum()), abs(n - m)) <= (100 - percent) * (n + m) // (100 + percent)
 
-    Every such pair has a member outside the bucket's largest component, and only those look
-    around. What is compared here are bitmaps in memory; no other pair leaves the bucket.
-    """
 
-    def bucket(rows: pa.RecordBatch):
-        comp, key, n = keys_of(rows.column(1)), keys_of(rows.column(2)), rows.column(3).to_numpy()
-        _, code, count = np.unique(comp, axis=0, return_inverse=True, return_counts=True)
-        code, maps = code.reshape(-1), rows.column(4).to_pylist()
-        mapped = np.array([x is not None for x in maps])
-        table = folded([x for x in maps if x is not None]) if mapped.any() else np.empty((0, 1), np.uint64)
-        line = np.cumsum(mapped) - 1
-        for i in np.flatnonzero(code != np.argmax(count)):
-            places = np.flatnonzero(code != code[i])
-            away = abs(places - i)
-            places = places[(away > beyond_places) & (away <= (len(key) if within is None else within))]
-            apart = abs(n[places] - n[i])
-            if mapped[i]:
-                known = mapped[places]
-                apart[known] = np.maximum(apart[known], np.bitwise_count(table[line[places[known]]] ^ table[line[i]]).sum(1))
-            places = places[apart <= (100 - percent) * (n[places] + n[i]) // (100 + percent)]
-            mine = np.broadcast_to(key[i], (len(places), KEY))
+def meetings(percent: int, everywhere: bool):
+    """Over rows (sig, u, v, asks, minor, comp, key, n, bits) with a meeting's rows together: for rows that ask, pairs with
+    rows that are asked, of other components, that sizes and sketches allow to be similar; or only the pair with the
+    smallest difference. What is compared are sketches in memory."""
+
+    def meeting(rows: pa.RecordBatch):
+        asks, minor = (rows.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+        comp, key, n = keys_of(rows.column(5)), keys_of(rows.column(6)), rows.column(7).to_numpy()
+        there = np.flatnonzero(~asks)
+        if not asks.any() or not len(there):
+            return
+        table = folded(rows.column(8).to_pylist())
+        code = comp.view(">u8")
+        order = key.view(">u8")
+        for i in np.flatnonzero(asks):
+            other = (code[there] != code[i]).any(1)
+            if everywhere:  # of two that both ask, the smaller key does
+                after = (order[there, 0] > order[i, 0]) | (order[there, 0] == order[i, 0]) & (order[there, 1] > order[i, 1])
+                other &= ~minor[there] | after
+            places = there[other]
+            apart = np.maximum(abs(n[places] - n[i]), np.bitwise_count(table[places] ^ table[i]).sum(1))
+            fits = apart <= (100 - percent) * (n[places] + n[i]) // (100 + percent)
+            places = places[fits]
+            if len(places) and not everywhere:
+                places = places[np.argmin(apart[fits])][None]
             if len(places):
-                yield np.where((places < i)[:, None], np.hstack([key[places], mine]), np.hstack([mine, key[places]]))
-
-    def pair_batch(held, seen):
-        """The pairs that this task has not given yet, as far as it remembers."""
-        rows = np.unique(np.vstack(held), axis=0)
-        words = rows.view(np.uint64)
-        tags = (words[:, 0] * ODD[1] ^ words[:, 2] * ODD[2]).tolist()
-        if len(seen) > 5 * SEEN:
-            seen.clear()
-        rows = rows[[t not in seen for t in tags]]
-        seen.update(tags)
-        return pa.RecordBatch.from_arrays([keys_array(rows[:, :KEY]), keys_array(rows[:, KEY:])], ["a", "b"])
+                yield ordered(np.broadcast_to(key[i], (len(places), KEY)), key[places])
 
     def run(batches):
         hold: list[pa.RecordBatch] = []
-        seen: set[int] = set()
 
         def out(rows: pa.RecordBatch):
-            sig, held, n = rows.column(0).to_numpy(), [], 0
-            starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-            for x, y in zip(starts, np.r_[starts[1:], len(sig)]):
-                for found in bucket(rows.slice(x, y - x)):
+            marks, held, n = np.column_stack([rows.column(i).to_numpy() for i in range(3)]), [], 0
+            starts = np.flatnonzero(differs(marks))
+            for x, y in zip(starts, np.r_[starts[1:], len(marks)]):
+                for found in meeting(rows.slice(x, y - x)):
                     held.append(found)
                     n += len(found)
                     if n > 20_000:
-                        yield pair_batch(held, seen)
+                        yield pair_batch(held)
                         held, n = [], 0
             if n:
-                yield pair_batch(held, seen)
+                yield pair_batch(held)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = batch.column(0).to_numpy()
-            cut = len(sig) - int(np.argmax(sig[::-1] != sig[-1])) if (sig != sig[-1]).any() else 0
-            if cut or (hold and hold[-1].column(0)[-1].as_py() != sig[-1]):
+            marks = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            cut = int(np.flatnonzero(differs(marks))[-1])
+            if hold and (cut or [hold[-1].column(i)[-1].as_py() for i in range(3)] != marks[-1].tolist()):
                 yield from out(joined([*hold, batch.slice(0, cut)]))
-                hold = [batch.slice(cut)]
-            else:
-                hold.append(batch)
+                hold, batch = [], batch.slice(cut)
+            elif cut:
+                yield from out(batch.slice(0, cut))
+                batch = batch.slice(cut)
+            hold.append(batch)
         if hold:
             yield from out(joined(hold))
 
     return run
 
 
+def pair_batch(held: list[np.ndarray]) -> pa.RecordBatch:
+    rows = np.unique(np.vstack(held), axis=0)
+    return pa.RecordBatch.from_arrays([keys_array(rows[:, :KEY]), keys_array(rows[:, KEY:])], ["a", "b"])
+
+
 def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
@@ -550,35 +565,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     A-Z are lower-cased; words are runs of what is not ASCII white space. Null, empty and
     blank texts have no shingles and are linked with nothing, not with each other either.
-    Equal sets are linked. Rows that repeat an identifier have rows of their own. An empty
-    table gives no rows; other columns are ignored.
+    Equal sets are linked. Rows that repeat an identifier have rows of their own; rows whose
+    identifier is null link others and have the smallest identifier of those, or null. Very
+    long texts are read whole; a task holds the shingles of two. An empty table gives no
+    rows; other columns are ignored.
     """
     join = Join(docs, words, percent, id_col, text_col)
     sets = written(join.sets(), "shingle-sets")
-    classes = sets.where("key is not null").groupBy("key").agg(F.min("d").alias("first"), F.min_by("v", "d").alias("v"))
-    sketches = sets.where("key is not null").select("key", "n", "bits").dropDuplicates(["key"])
-    spare = sets.where("key is not null").select("key", "even", "odd").dropDuplicates(["key"])
+    full = sets.where("key is not null")
+    classes = full.groupBy("key").agg(F.min("d").alias("first"), F.coalesce(F.min_by("v", "d"), F.min("v")).alias("v"))
+    sketches = full.select("key", "n", "bits").dropDuplicates(["key"])
+    spare = full.select("key", "even", "odd").dropDuplicates(["key"])
     found = written(join.buckets(), "buckets")
-    tested = written(found.where("sig is null").select("a", "b").distinct(), "pairs")
-    links = join.verified(tested, sketches, classes)
+    # of large buckets, a member is tied to the smallest and the largest of its heads
+    ties = found.where("sig is not null and a <> b").groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y")).select("a", F.explode(F.array("x", "y")).alias("b"))
+    pairs = found.where("sig is null").select("a", "b").union(ties.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    links = join.verified(join.possible(pairs, sketches), classes)
     labels = components(links)
     rest = found.where("sig is not null").select("sig", F.col("a").alias("key"), F.col("sig").bitwiseAND(1).alias("parity"))
     dull = rest.groupBy("key", "parity").agg(F.count("*").alias("dull")).join(spare, "key").where(F.col("dull") > F.when(F.col("parity") == 0, F.col("even")).otherwise(F.col("odd")))
-    rest = rest.join(dull.select("key", "parity"), ["key", "parity"]).select("sig", "key")
-    carried = sketches.select("key", "n", F.when(F.col("n") <= SKETCHED, F.col("bits")).alias("bits"))
-    for beyond_places, within in ((0, NEAR), (NEAR, None)):
-        sized = labels.join(labels.groupBy("comp").agg(F.count("*").alias("size")), "comp")
-        labelled = rest.join(sized, "key", "left").withColumns({"comp": F.coalesce("comp", "key"), "size": F.coalesce("size", F.lit(1))})
-        mixed = labelled.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max(F.struct("size", "comp"))["comp"].alias("lead")).where("x <> y").select("sig", "lead")
-        rest = written(labelled.drop("size").join(mixed, "sig"), "mixed-buckets")
-        # buckets that share their largest component have much the same sets: a few tasks take them, so that a pair is not given for each
-        asked = rest.join(carried, "key").withColumn("part", F.pmod(F.shiftright("sig", 1), F.lit(SPREAD))).repartition(partitions(join.spark), "lead", "part").sortWithinPartitions("lead", "sig", "key").select("sig", "comp", "key", "n", "bits")
-        asked = written(asked.mapInArrow(cross(percent, beyond_places, within), "a binary, b binary").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    rest = written(rest.join(dull.select("key", "parity"), ["key", "parity"]).select("sig", "key").distinct(), "dull-rows")
+    for everywhere in (False, True):
+        asked = written(join.around(rest, labels, sketches, everywhere), "pairs")
         if not asked.isEmpty():
-            links = links.union(join.verified(asked, sketches, classes))
+            links = links.union(join.verified(asked, classes))
             labels = components(links)
-            tested = tested.union(asked)
-        rest = rest.select("sig", "key")
     named = classes.join(labels, "key", "left").select("key", "first", F.coalesce("comp", "key").alias("comp"))
     small = named.groupBy("comp").agg(F.min("first").alias("component_id"))
     final = named.join(small, "comp").select(F.col("key").alias("key2"), "component_id")
