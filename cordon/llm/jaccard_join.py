@@ -52,7 +52,7 @@ SMALL = 4
 #: numbers of dull segments that are tried: up to so many, and their mean and up to so many standard deviations more.
 COMPANY, COMMON, FEW = 500.0, 30.0, 6
 #: Sets that a task remembers as indexed, words whose hashes a worker remembers, and the longest such words in bytes.
-SEEN, KNOWN, KNOWN_BYTES = 200_000, 200_000, 64
+SEEN, KNOWN, KNOWN_BYTES = 200_000, 100_000, 32
 #: Bits of the widest sketch. It rules pairs out up to some 200,000 shingles; larger sets are told apart by size and text only.
 WIDEST = 1 << 16
 #: Sets in a block of a large bucket.
@@ -372,14 +372,16 @@ class Join:
         """(d, v, n, key, bits, even, odd) per document, with slack(); key, bits and slack null for an empty set."""
         words, percent = self.words, self.percent
 
+        def row(s: np.ndarray) -> tuple:
+            return (s.shape[1], set_key(s), sketch(s[0]), *slack(s[0], percent)) if s.size else (0, None, None, None, None)
+
         def run(batches):
             for batch in batches:
-                found = [shingles(t, words) for t in batch.column(2).to_pylist()]
-                spare = [slack(s[0], percent) if s.size else (None, None) for s in found]
-                slacks = [pa.array([x[i] for x in spare], pa.int32()) for i in (0, 1)]
-                keys = pa.array([set_key(s) if s.size else None for s in found], pa.binary())
-                bits = pa.array([sketch(s[0]) if s.size else None for s in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.shape[1] for s in found], pa.int64()), keys, bits, *slacks], ["d", "v", "n", "key", "bits", "even", "odd"])
+                if not batch.num_rows:
+                    continue
+                found = [row(shingles(t.as_py(), words)) for t in batch.column(2)]
+                types = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(zip(*found), types))], ["d", "v", "n", "key", "bits", "even", "odd"])
 
         return self.docs.select("d", "v", "t").mapInArrow(run, f"d {self.kind}, v long, n long, key binary, bits binary, even int, odd int")
 
@@ -390,10 +392,10 @@ class Join:
             seen: set[bytes] = set()
             for batch in batches:
                 texts = batch.column(0)
-                for k in range(0, len(texts), 2000):
+                for k in range(0, len(texts), 1000):
                     sigs, keys = [], []
-                    for t in texts.slice(k, 2000).to_pylist():
-                        s = shingles(t, words)
+                    for t in texts.slice(k, 1000):
+                        s = shingles(t.as_py(), words)
                         if not s.size or (key := set_key(s)) in seen:
                             continue
                         if len(seen) >= SEEN:

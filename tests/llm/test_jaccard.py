@@ -127,7 +127,7 @@ def test_blocks_of_a_bucket_meet(spark, mixed, monkeypatch):
 
 
 def test_null_identifiers_link_others(spark):
-    near = list(family(np.random.default_rng(4), 3, 80, 2))
+    near = list(family(np.random.default_rng(4), 3, 120, 1))
     rows = [(None, near[0]), (7, near[1]), (9, near[2]), (None, "only here and nowhere else"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in jj.near_duplicates(df).collect()), key=str)
