@@ -6,8 +6,10 @@ lines that both have are template and go. Neighbours may also share article text
 and a template may differ from page to page (rotating adverts and menus), which differencing
 alone gets wrong. So markup decides where it is plain: lines in menus, footers, adverts,
 forms and the like go in any case, and if the page names its article (<article>, <main>, or
-role main), lines inside it stay and lines outside it go. Differencing decides all lines of
-pages that don't.
+role main), lines inside it stay and lines outside it go. Differencing decides what markup
+leaves open: all lines of pages that name no article, and inside an article lines of elements
+whose names only hint at page furniture ("related-work", "legal"). Those go if a neighbour
+has them too, unless it shares most of the article, as a copy does.
 
 Neighbours that are equal line by line are one run, and runs are what is aligned: each with
 the nearest pages of its host that differ from it, for all its pages at once.
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -32,59 +35,88 @@ from cordon.llm.common import partitions, written
 
 #: Elements whose content is no text of the page, elements of page chrome,
 #: elements that end a line, elements without an end tag.
-NO_TEXT = set("script style noscript template iframe object embed svg math canvas audio video select option datalist textarea button head title".split())
+NO_TEXT = set("script style noscript template iframe object embed canvas audio video select option datalist textarea button head title annotation annotation-xml".split())
 CHROME = set("nav footer aside form menu dialog".split())
 BLOCKS = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe".split())
 CHROME_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-CHROME_NAMES = re.compile(r"(^|[\s_-])(ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|masthead|footer|sidebar|side|widget|related|recommended|share|sharing|social|cookie|cookies|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|comment|comments|disqus|respond|replies|reply|pagination|pager|toolbar|skip|legal|copyright)($|[\s_-])", re.I)
+#: Words of class and id names that name page furniture, in an article only some of them; words that may stand beside these.
+FURNITURE = set(
+    "ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promoted banner nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar side widget related "
+    "recommended recommendations share sharing social cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login comment comments disqus respond replies reply pagination "
+    "pager toolbar skip legal copyright".split()
+)
+NOT_IN_ARTICLE = {"banner", "header", "legal", "side", "copyright"}
+BESIDE = set(
+    "site page main top bottom left right upper lower primary secondary global mobile desktop box boxes container wrapper wrap inner outer block section area region bar list item items link links button buttons icon icons "
+    "content text form field title heading label group row col column panel module unit slot placeholder footer header thread user reader readers count post posts article articles stories story more to us policy media the".split()
+)
 #: End tags that may be left out: an opening tag ends these open elements.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+PARTS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
-IN_ARTICLE, IN_CHROME = 1, 2
+IN_ARTICLE, IN_CHROME, UNSURE = 1, 2, 4
 
 
-def is_chrome(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is page chrome. A <header> inside the article is the article's."""
-    if tag in CHROME or (tag == "header" and not inside):
-        return True
-    if tag in ("html", "body", "article", "main") or not attributes:
-        return False
+@lru_cache(20_000)
+def by_attributes(attributes: str, inside: bool) -> int:
+    """IN_CHROME if roles or names say that an element is page furniture, UNSURE if a name hints at it.
+
+    A name says so if all its words, as in "ad-banner" or "cookie-notice", are of furniture
+    or such as may stand beside it; "market-share" only hints.
+    """
+    flag = 0
     for k, a, b, c in ATTRIBUTE.findall(attributes):
-        k, v = k.lower(), a or b or c
-        if k == "role" and v.lower() in CHROME_ROLES or k in ("hidden",) or k == "aria-hidden" and v.lower() == "true":
-            return True
-        if k in ("class", "id") and CHROME_NAMES.search(v) and not (inside and CHROME_NAMES.search(v)[2].lower() in ("header", "side", "banner")):
-            return True
-    return False
+        k, v = k.lower(), (a or b or c).lower()
+        if k == "role" and v in CHROME_ROLES or k == "hidden" and v != "until-found" or k == "aria-hidden" and v == "true":
+            return IN_CHROME
+        if k in ("class", "id"):
+            for name in v.split():
+                words = set(PARTS.findall(name))
+                some = words & FURNITURE
+                if some - NOT_IN_ARTICLE if inside else some:
+                    if words <= FURNITURE | BESIDE:
+                        return IN_CHROME
+                if some:
+                    flag = UNSURE
+    return flag
+
+
+def furniture(tag: str, attributes: str, inside: bool) -> int:
+    """IN_CHROME, UNSURE or 0 for an element. A <header> inside the article is the article's."""
+    if tag in CHROME or (tag == "header" and not inside):
+        return IN_CHROME
+    if tag in ("html", "body", "article", "main") or not any(x in attributes for x in ("class", "id", "role", "hidden", "CLASS", "ID", "ROLE", "HIDDEN")):
+        return 0
+    return by_attributes(attributes, inside)
 
 
 def lines(page: str) -> list[tuple[str, int]]:
-    """Text lines of a page in order, each with flags: in the article, in chrome.
+    """Text lines of a page in order, each with flags: in the article, in chrome, unsure.
 
     Tags are read with tolerance: end tags close the nearest open element of that name and
     all within it; stray ones do nothing; what is open at the end of the page ends there.
     """
     out: list[tuple[str, int]] = []
     buffer: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, article, chrome, no text
-    article = chrome = mute = False
+    stack: list[tuple[str, bool, int, bool]] = []  # tag, article, chrome or unsure, no text
+    article, chrome, mute = False, 0, False
     at = 0
 
     def flush():
         text = SPACE.sub(" ", "".join(buffer)).strip()
         buffer.clear()
         if text:
-            out.append((text, IN_ARTICLE * article | IN_CHROME * chrome))
+            out.append((text, IN_ARTICLE * article | chrome))
 
     def reset():
         nonlocal article, chrome, mute
-        _, article, chrome, mute = stack[-1] if stack else ("", False, False, False)
+        _, article, chrome, mute = stack[-1] if stack else ("", False, 0, False)
 
     def text(chunk: str):
         if chunk and not mute:
@@ -128,7 +160,7 @@ def lines(page: str) -> list[tuple[str, int]]:
             reset()
         named = tag in ("article", "main") or 'role="main"' in (m[4] or "")
         inside = article or named
-        state = (tag, inside, chrome or is_chrome(tag, m[4] or "", inside), mute or tag in NO_TEXT)
+        state = (tag, inside, chrome | furniture(tag, m[4] or "", inside), mute or tag in NO_TEXT)
         if not (m[4] or "").rstrip().endswith("/") or tag in BLOCKS:
             stack.append(state)
             reset()
@@ -218,8 +250,12 @@ def main_text(parsed: list[tuple[str, int]], gone: set[int], markup: bool = True
     """The page's lines that stay, joined by a space. markup=False leaves all to differencing."""
     if not markup:
         return " ".join(t for k, (t, _) in enumerate(parsed) if k not in gone)
-    named = any(f & IN_ARTICLE for _, f in parsed)
-    return " ".join(t for k, (t, f) in enumerate(parsed) if not f & IN_CHROME and (f & IN_ARTICLE or not named and k not in gone))
+    if not any(f & IN_ARTICLE for _, f in parsed):
+        return " ".join(t for k, (t, f) in enumerate(parsed) if not f & IN_CHROME and k not in gone)
+    body = [k for k, (_, f) in enumerate(parsed) if f & IN_ARTICLE and not f & IN_CHROME]
+    sure = [k for k in body if not parsed[k][1] & UNSURE]
+    copied = 2 * sum(k in gone for k in sure) > len(sure)
+    return " ".join(parsed[k][0] for k in body if copied or not (parsed[k][1] & UNSURE and k in gone))
 
 
 def extract(pages: DataFrame, markup: bool = True, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -227,8 +263,8 @@ def extract(pages: DataFrame, markup: bool = True, id_col: str = "page_id", url_
 
     Null html counts as empty; a null URL as host and path "". Pages of equal URL are ordered
     by identifier; a page without a neighbour on its host keeps all lines that markup leaves;
-    neighbours that are equal line by line say nothing and are passed over. Repeated rows get
-    equal rows. An empty table gives none; other columns are ignored.
+    neighbours that are equal line by line say nothing and are passed over. Very long pages are
+    read whole. Repeated rows get equal rows. An empty table gives none; other columns are ignored.
     """
     spark = pages.sparkSession
     kind = pages.schema[id_col].dataType.simpleString()

@@ -30,6 +30,8 @@ def test_alignment_is_a_longest_common_subsequence():
     ("<nav>menu</nav><article><header><h1>T</h1></header><p>x <b>y</b>z</p><aside>s</aside><form>f<input>g</form></article><footer>c</footer>", "T x yz"),
     ("<body><div class='site-header'>h</div><p>one</p><script>'</p>'</script><style>p{}</style><div id=comments>c<div>d</div></div><p>two", "one two"),
     ("<article><p>a<!-- no > -->b</p><ul><li>i<li>j</ul><pre>k\n\n  l</pre></article><section>off</section>", "ab i j k l"),
+    ("<article><h1>T</h1><p>a</p><h2 id='related-work'>w</h2><p class='market-share'>m</p><div class='legal'>l</div><section id='social-impact'>s</section><p>x <math><mi>y</mi></math></p></article>", "T a w m l s x y"),
+    ("<article><p>a<svg><title>i</title><text>v</text></svg></p><div class='ad-banner'>b</div><div class='cookie notice'>c</div><div id=comments>d</div><div class='share-buttons'>e</div><p hidden>f</p><p class='side'>g</p></article>", "av g"),
     ("<main><p>&copy;&#39;&nbsp;x</p></main><div>y</div>", "©' x"), ("<article><p>unclosed <b>bold<p>next", "unclosed bold next"),
 ])
 def test_text_of_a_page(page, text):
@@ -69,3 +71,13 @@ def test_pages_of_the_table(spark, sf):
         body = r.html[r.html.index("<article>") : r.html.index("</article>")]
         want = html.unescape(re.sub(r"<b>|</b>", "", re.sub(r"</?(p|h1|br|article)>", " ", body)))
         assert got[r.page_id] == " ".join(want.split())
+
+
+def test_differencing_decides_hints_inside_an_article(spark):
+    """A box whose name only hints at furniture goes if pages of other articles have it; copies of an article keep it."""
+    page = lambda story, box: f"<article><p>{story} one</p><p>{story} two</p><p>{story} three</p><div class='related-reading'>{box}</div></article>"
+    rows = [(i, f"http://h.example/{i}", page(f"story {i}", "Read this as well")) for i in range(4)]
+    rows += [(9, "http://h.example/9", page("last", "Only here")), (10, "http://c.example/1", page("copy", "Its own box")), (11, "http://c.example/2", page("copy", "Its own box") + "<p>x</p>")]
+    got = {r.page_id: r.text for r in hx.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"story {i} one story {i} two story {i} three" for i in range(4))
+    assert got[9].endswith("last three Only here") and got[10] == got[11] == "copy one copy two copy three Its own box"
