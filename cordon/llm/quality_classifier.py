@@ -140,7 +140,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, label_col: str = "qua
 
     The model is fitted on labelled documents of `fit_on`, or of `docs` where that isn't given.
 
-    Null texts are scored as empty ones. Without labels of both kinds every score is 0.5.
+    Null texts are scored as empty ones, very long ones whole. Without labels of both kinds every score is 0.5.
     Repeated rows get equal rows; an empty table gives none; other columns have no influence.
     """
     model = fit(labelled_sample(docs if fit_on is None else fit_on, labels, label_col, folds, held_out, most, id_col, text_col))

@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cordon.llm.common import WS_CLASS, let
+from cordon.llm.common import WS_CLASS, let, written
 
 BUCKETS = 10_000
+#: Trusted identifiers are listed to all executors up to this many, 8 bytes each; more are met by a shuffle of the buckets.
+LISTED = 500_000
 #: Documents with a lower mean log-likelihood ratio go.
 THRESHOLD = -0.35
 MIN_WORDS, REPEAT_PERCENT = 10, 20
@@ -73,18 +75,21 @@ def ngram_buckets(text: Column) -> Column:
     return let(F.transform(tokens, lambda x: F.xxhash64(x)), grams)
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def log_ratios(grams: DataFrame, trusted: DataFrame) -> DataFrame:
     """One row, one array: the log-likelihood ratio of each bucket.
 
-    All documents of `trusted` (one column, id_col) are counted for the target. Counts are
-    summed by bucket before their shuffle; the join shuffles the texts once, at any size. Without trusted documents all ratios are 0.
+    `grams` has documents (i, b: their buckets), `trusted` the identifiers (t) of the target;
+    all its documents count. Counts are summed by bucket before their shuffle. Without
+    trusted documents all ratios are 0.
     """
-    spark = docs.sparkSession
-    chosen = trusted.select(F.col(id_col).alias("trusted_id")).distinct()
-    grams = docs.join(chosen.hint("merge"), F.col(id_col) == F.col("trusted_id"), "left").select(F.col("trusted_id").isNotNull().cast("long").alias("good"), F.explode(ngram_buckets(F.col(text_col))).alias("b"))
-    counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good"))
-    counts = spark.range(BUCKETS).join(F.broadcast(counts), F.col("id") == F.col("b"), "left").select("id", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
-    one = counts.agg(F.array_sort(F.collect_list(F.struct("id", "raw", "good"))).alias("c"), F.sum("raw").alias("n"), F.sum("good").alias("g"))
+    spark = grams.sparkSession
+    counts = lambda df, name: df.select(F.explode("b").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias(name))
+    chosen = written(trusted.where("t is not null").distinct(), "trusted")
+    way = "broadcast" if chosen.count() <= LISTED else "merge"
+    raw, good = counts(grams, "raw"), counts(grams.join(chosen.hint(way), F.col("i") == F.col("t"), "left_semi"), "good")
+    both = spark.range(BUCKETS).join(F.broadcast(raw), F.col("id") == raw["k"], "left").join(F.broadcast(good), F.col("id") == good["k"], "left")  # BUCKETS rows each at most
+    both = both.select("id", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
+    one = both.agg(F.array_sort(F.collect_list(F.struct("id", "raw", "good"))).alias("c"), F.sum("raw").alias("n"), F.sum("good").alias("g"))
     ratio = lambda x: F.log((x["good"] + 1) / (F.col("g") + BUCKETS)) - F.log((x["raw"] + 1) / (F.col("n") + BUCKETS))
     return one.select(F.when(F.col("g") > 0, F.transform("c", ratio)).otherwise(F.array_repeat(F.lit(0.0), BUCKETS)).alias("w"))
 
@@ -92,17 +97,20 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str)
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """One row per row of `docs`: id, the base counts, base_failed, llr (mean log-likelihood ratio) and kept.
 
-    Null and empty texts have no words, fail the base rules and have llr 0. Repeated rows get
-    equal rows; each counts in the corpus. Other columns are ignored, or with `carry` come
-    along as the struct `row`.
+    Texts are read once: their base counts and buckets are written, then counted, then scored.
+    Null and empty texts have no words, fail the base rules and have llr 0; very long ones are
+    read whole. Repeated rows get equal rows; each counts in the corpus. An empty table gives
+    no rows. Other columns, of `trusted` too, are ignored, or with `carry` come along as the struct `row`.
     """
-    ratios = log_ratios(docs, trusted, id_col, text_col).first()["w"]  # BUCKETS numbers, whatever the input
-    weights = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # folded into one constant
-    mean = lambda b, w: F.when(F.size(b) > 0, F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(w, x)) / F.size(b)).otherwise(0.0)
-    scored = docs.select(
-        F.col(id_col),
+    measured = docs.select(
+        F.col(id_col).alias("i"),
         base_rules(F.col(text_col)).alias("m"),
-        let(ngram_buckets(F.col(text_col)), lambda b: mean(b, weights)).alias("llr"),
+        ngram_buckets(F.col(text_col)).alias("b"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
     )
-    return scored.select(id_col, "m.*", "llr", (~F.col("m.base_failed") & (F.col("llr") >= threshold)).alias("kept"), *(["row"] if carry else []))
+    measured = written(measured, "text-measures")
+    ratios = log_ratios(measured.select("i", "b"), trusted.select(F.col(id_col).alias("t"))).first()["w"]  # BUCKETS numbers, whatever the input
+    weights = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # folded into one constant
+    mean = lambda b, w: F.when(F.size(b) > 0, F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(w, x)) / F.size(b)).otherwise(0.0)
+    scored = measured.withColumn("llr", mean(F.col("b"), weights))
+    return scored.select(F.col("i").alias(id_col), "m.*", "llr", (~F.col("m.base_failed") & (F.col("llr") >= threshold)).alias("kept"), *(["row"] if carry else []))

@@ -100,3 +100,50 @@ def test_labels_of_the_held_out_fold_have_no_influence(docs, labels):
     flipped = labels.withColumn("quality", F.when(remainder("doc_id", 4) == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = (sorted(map(tuple, quality_classifier.quality_classifier(docs, x).select("doc_id", "score").collect())) for x in (labels, flipped))
     assert a == b
+
+
+def test_extra_columns_with_names_that_operators_use(spark, labels):
+    """Names of inner columns in both tables, and repeated rows, change nothing."""
+    texts = [(i, f"a document number {i} of some words " * (2 + i % 5)) for i in range(60)] + [(3, "another text of the same identifier")]
+    plain = spark.createDataFrame(texts, "doc_id long, text string")
+    marks = plain.select("doc_id").distinct().selectExpr("doc_id", "cast(doc_id % 2 as int) as quality", "cast(doc_id % 2 as int) as toxic")
+    extra = ["y", "labelled_id", "trusted_id", "text_id", "i", "m", "b", "t", "k", "row", "llr", "the_text", "term", "n", "x"]
+    wide = plain.selectExpr("*", *[f"'z' as {c}" for c in extra])
+    wide_marks = marks.selectExpr("*", *[f"7 as {c}" for c in [*extra, "text"]])
+    for f in (quality_classifier.quality_classifier, toxicity.toxicity):
+        a, b = (sorted(map(tuple, f(d, m).collect())) for d, m in ((plain, marks), (wide, wide_marks)))
+        assert a == b and len(a) == 61
+    a, b = (sorted(map(tuple, quality_rules.quality_rules(d, m.where("quality = 1")).collect())) for d, m in ((plain, marks), (wide, wide_marks)))
+    assert a == b and len(a) == 61
+    assert sorted(r.row.doc_id for r in quality_rules.quality_rules(wide, marks, carry=True).collect()) == sorted(i for i, _ in texts)
+
+
+def test_classifier_against_brute_force(spark):
+    """Scores equal dense ridge on the same features, solved at once, and pooled means found by trying all cuts."""
+    from zlib import crc32 as crc
+
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma!", "d,", "42"], rng.integers(3, 60))) + ("." if i % 2 else " BUY #") for i in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    marks = spark.createDataFrame([(i, int(i % 2 or rng.random() < 0.2)) for i in range(300)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality_classifier.quality_classifier(docs, marks).collect()}
+    y = {r.doc_id: r.quality for r in marks.collect()}
+    used = [i for i in y if crc32(str(i).encode()) % 4 != 2]
+    x = np.array([quality_classifier.statistics(t) for t in texts])
+    mean, scale = x[used].mean(0), np.maximum(x[used].std(0), 1e-6)
+    draw = np.random.default_rng(quality_classifier.SEED)
+    w = draw.normal(0, 1 / quality_classifier.BANDWIDTH, (x.shape[1], quality_classifier.FEATURES))
+    phase = draw.uniform(0, 2 * np.pi, quality_classifier.FEATURES)
+    z = np.hstack([np.sqrt(2 / quality_classifier.FEATURES) * np.cos(np.clip((x - mean) / scale, -6, 6) @ w + phase), np.ones((300, 1))])
+    fit = [i for i in used if crc(texts[i].encode()) % quality_classifier.CALIBRATION_SHARE]
+    held = [i for i in used if i not in set(fit)]
+    penalty = np.diag([quality_classifier.RIDGE * len(fit) / quality_classifier.FEATURES] * quality_classifier.FEATURES + [1e-9])
+    raw = z @ np.linalg.solve(z[fit].T @ z[fit] + penalty, z[fit].T @ np.array([y[i] for i in fit], float))
+    order = sorted(held, key=lambda i: raw[i])
+    t = np.array([y[i] for i in order], float)
+    least = [max(min(t[a : b + 1].mean() for b in range(k, len(t))) for a in range(k + 1)) for k in range(len(t))]  # isotonic regression, by its max-min formula
+    pools = sorted(set(least))
+    knots = [np.mean([raw[i] for i, v in zip(order, least) if v == p]) for p in pools]
+    want = np.clip(0.999 * np.interp(raw, knots, pools) + 0.001 / (1 + np.exp(-4 * (raw - 0.5))), 0, 1)
+    assert np.allclose([got[i] for i in range(300)], want, atol=1e-6)
