@@ -8,7 +8,9 @@ entry that (a) is a suffix of it and (b) may stand after the last token of what
 Distinct words are inserted in sorted order into a trie, so that nodes come into being depth
 first; each new node gets its last token from its ancestors once, however many words share
 it. A word's ids are read by walking last tokens back to the root. The trie and the word
-cache live as long as a Python worker and are emptied at a fixed size, so memory is bounded.
+cache live as long as a Python worker and are emptied at a fixed size. Words of more than
+LONG bytes share no prefix worth keeping: they are walked by the same rule with a number a
+byte, outside trie and cache. So memory is bounded but for a few bytes for each of the text at hand.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import json
 from array import array
 from functools import lru_cache
+from itertools import islice
 from hashlib import sha256
 
 import pyarrow as pa
@@ -29,6 +32,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 MAX_NODES, MAX_WORDS = 600_000, 300_000
+#: Longest word, in bytes, that goes into the trie; words of a text that are looked up at once.
+LONG, AT_ONCE = 64, 200_000
 NEVER = 1 << 60
 
 
@@ -63,7 +68,7 @@ class TrieBpe:
         self.ends: list[list[tuple[int, int]]] = [[]]
         self.step: dict[int, int] = {}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.find = regex.compile(PATTERN).findall
+        self.find, self.iterate = regex.compile(PATTERN).findall, regex.compile(PATTERN).finditer
         self.pairs_ok: dict[int, bool] = {}
         self.spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.words: dict[str, bytes] = {}
@@ -163,6 +168,24 @@ class TrieBpe:
             path.append(node)
         return node
 
+    def walk(self, word: bytes) -> bytes:
+        """Ids of a long word: the last token of each of its beginnings follows from those before, as in the trie."""
+        step, ends, state = self.step, self.ends, 0
+        last = array("I", bytes(4 * (len(word) + 1)))  # by bytes read
+        for depth, byte in enumerate(word, 1):
+            nxt = step.get(state << 8 | byte)
+            state = self.advance(state, byte) if nxt is None else nxt
+            for length, token in ends[state]:
+                if self.may_follow(last[depth - length], token) if length < depth else self.stands_alone(token):
+                    break
+            last[depth] = token
+        ids, depth = array("I"), len(word)
+        while depth:
+            ids.append(last[depth])
+            depth -= len(self.text_of[last[depth]])
+        ids.reverse()
+        return ids.tobytes()
+
     def learn(self, words: set[str]) -> None:
         """Adds the words' encodings to the cache, depth first."""
         if len(self.words) + len(words) > MAX_WORDS:
@@ -178,16 +201,26 @@ class TrieBpe:
             self.words[word.decode()] = array("I", ids).tobytes()
 
     def encode_plain(self, text: str) -> bytes:
-        found = self.find(text)
-        new = set(found).difference(self.words)
+        if len(text) <= AT_ONCE:
+            return self.encode_words(self.find(text))
+        out, rest = [], (m[0] for m in self.iterate(text))
+        while found := list(islice(rest, AT_ONCE)):
+            out.append(self.encode_words(found))
+        return b"".join(out)
+
+    def encode_words(self, found: list[str]) -> bytes:
+        new = {w for w in set(found).difference(self.words) if len(w) <= LONG // 4 or len(w.encode()) <= LONG}
         if new:
             self.learn(new)
         try:
             return b"".join(map(self.words.__getitem__, found))
-        except KeyError:  # the cache was emptied on the way
+        except KeyError:  # a long word, or the cache was emptied on the way
             return b"".join([self.words[w] if w in self.words else self.fresh(w) for w in found])
 
     def fresh(self, word: str) -> bytes:
+        data = word.encode()
+        if len(data) > LONG:
+            return self.walk(data)
         self.learn({word})
         return self.words[word]
 
@@ -215,7 +248,8 @@ def loaded(path: str) -> TrieBpe:
 def encode_decode(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
     """Encodes and decodes every whole text: one pass, no shuffle.
 
-    Null and empty texts have no ids and decode to "". Repeated rows each get their row; other
+    Null and empty texts have no ids and decode to "". Very long texts are encoded whole, in
+    portions of words. Repeated rows each get their row; an empty table gives none; other
     columns of `docs` are ignored, so names can't clash. With `keep_ids` the result also has
     `ids` (binary, little-endian unsigned 32-bit) and `decoded`.
     """

@@ -50,3 +50,18 @@ def test_hard_rows(hard, empty):
         want.append((r.doc_id, len(ids) // 4, sha256(ids).hexdigest(), sha256((r.text or "").encode()).hexdigest()))
     assert got == sorted(want)
     assert bpe.encode_decode(empty, PATH).count() == 0
+
+
+def test_very_long_words_in_bounded_memory():
+    """Words beyond LONG leave neither nodes nor cached words, and are the library's."""
+    rng = np.random.default_rng(3)
+    fresh = bpe.TrieBpe(PATH)
+    for text in ("".join(rng.choice(list("abcdeé日"), 200_000)), "ab" * 40_000, "q" * 30_001, "x " + "!?" * 5000 + " y" * 3):
+        assert fresh.encode(text) == library_ids(text)
+    assert len(fresh.last) < 1000 and max(map(len, fresh.words)) <= bpe.LONG
+
+
+def test_texts_of_more_words_than_are_looked_up_at_once(monkeypatch):
+    monkeypatch.setattr(bpe, "AT_ONCE", 7)
+    text = "the quick brown fox, 12 jumps <|endoftext|> over  the lazy dog\n" * 9
+    assert OURS.encode(text) == library_ids(text)
