@@ -1,10 +1,12 @@
 """Toxicity: a lexicon trie met by Levenshtein automata, with context windows for quotation.
 
-The lexicon is learned from labelled documents: word beginnings that stand in toxic
-documents far more often than chance lets them (a likelihood-ratio test against the number
-of candidates tried). Terms lie in a trie. A word is read by walking the trie with the
+The lexicon is learned from labelled documents: word beginnings, and whole words that are
+shorter or longer than these, that stand in toxic documents far more often than chance lets
+them (a likelihood-ratio test against the number of candidates tried). All that pass are
+kept. Terms lie in a trie. A word is read by walking the trie with the
 word's Levenshtein automaton, a bit-parallel set of positions for no error and for one: a
-term without error may begin a longer, inflected word; with one edit it must be the whole. Around each find a window of words is scored: quotation marks
+term without error may begin a longer, inflected word (but for terms of fewer than SHORTEST
+characters); with one edit it must be the whole, or if it is long all but ENDING characters. Around each find a window of words is scored: quotation marks
 and words of reporting speak for quotation, second person for abuse. A logistic
 regression over the sums gives the score.
 """
@@ -23,9 +25,10 @@ from pyspark.sql import functions as F
 from cordon.llm.common import written
 from cordon.llm.labelled import labelled_sample, remainder
 
-#: Bounds on the labelled documents of the fit and on the lexicon.
-MAX_LABELLED, MAX_TERMS = 10_000, 2_000
-SHORTEST, LONGEST, FUZZY_FROM = 4, 12, 5
+#: Bound on the labelled documents of the fit.
+MAX_LABELLED = 10_000
+#: Lengths of word beginnings that are candidates; terms are met with an edit from the first length on, with an edit and an ending from the second.
+SHORTEST, LONGEST, FUZZY_FROM, ENDED_FROM, ENDING = 4, 12, 5, 7, 2
 WINDOW = 4
 MAX_CACHE = 400_000
 
@@ -71,28 +74,29 @@ class Lexicon:
         near = [self.terms[k] for k in self.fuzzy]
         self.heads, self.tails = tuple({t[: len(t) // 2] for t in near}), tuple({t[len(t) // 2 :] for t in near})
         self.begins, self.head2, self.tail3 = {t[:SHORTEST] for t in self.terms}, {h[:2] for h in self.heads}, {t[-3:] for t in self.tails}
+        self.ending = [ENDING if len(t) >= ENDED_FROM else 0 for t in self.terms]
         self.found: dict[str, tuple[int, int]] = {}
         self.clean: set[str] = set()
 
     def exact(self, word: str) -> int:
         """The longest term that begins the word, or -1."""
         node, found = 0, -1
-        for c in word:
+        for depth, c in enumerate(word, 1):
             node = self.child[node].get(c, -1)
             if node < 0:
                 break
-            if self.end[node] >= 0:
+            if self.end[node] >= 0 and (depth >= SHORTEST or depth == len(word)):
                 found = self.end[node]
         return found
 
     def near(self, word: str) -> int:
-        """The weightiest term that one edit turns into the word, or -1.
+        """The weightiest term that one edit turns into the word, or if it is long into the word less an ending; or -1.
 
         Bit i of a state says that i characters of the word have been read. The trie is
         walked with two states, without and with an edit. One edit leaves the term's first
         half intact at the word's beginning or its second half at the end; other words aren't walked.
         """
-        if not (word[:2] in self.head2 and word.startswith(self.heads) or word[-3:] in self.tail3 and word.endswith(self.tails)):
+        if not (word[:2] in self.head2 and word.startswith(self.heads) or any(w[-3:] in self.tail3 and w.endswith(self.tails) for w in (word, word[:-1], word[:-2]))):
             return -1
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
@@ -110,7 +114,7 @@ class Lexicon:
                 if not zero and not edit:
                     continue
                 k = self.end[nxt]
-                if k in self.fuzzy and (best < 0 or self.weights[k] > self.weights[best]) and edit >> n & 1:
+                if k in self.fuzzy and (best < 0 or self.weights[k] > self.weights[best]) and edit >> max(1, n - self.ending[k]):
                     best = k
                 stack.append((nxt, zero, edit))
         return best
@@ -204,17 +208,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
+def candidates(word: str) -> list[str]:
+    """Beginnings of SHORTEST to LONGEST characters, and the word itself where it is shorter or longer."""
+    return [word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1)] + [word] * (0 < len(word) < SHORTEST or len(word) > LONGEST)
+
+
 def counted(batches, among: set[str] | None = None):
-    """Per batch, how many documents have a word with each beginning (of `among`)."""
+    """Per batch, how many documents have a word with each candidate (of `among`)."""
+    begins = {t[:SHORTEST] for t in among or ()}
     for batch in batches:
         count: Counter = Counter()
         for text in batch.column(0).to_pylist():
             words = {t.strip(STRIP) for t in set(text.lower().split())}
             if among is None:
-                count.update({w[:k] for w in words for k in range(SHORTEST, min(LONGEST, len(w)) + 1)})
+                count.update({c for w in words for c in candidates(w)})
             else:
-                words = {w for w in words if w[:SHORTEST] in among}
-                count.update(among.intersection(w[:k] for w in words for k in range(SHORTEST, min(LONGEST, len(w)) + 1)))
+                count.update(among.intersection(c for w in words if w[:SHORTEST] in begins for c in candidates(w)))
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
 
 
@@ -229,19 +238,23 @@ def fit(sample: DataFrame) -> Model | None:
     # what too few toxic documents have can't pass, even if no other has it
     enough = next((d for d in range(2, int(nt) + 1) if signed_llr(d, nt, 0, nn) >= least), int(nt) + 1)
     dt = {r["term"]: r["n"] for r in toxic.where(F.col("n") >= enough).collect()}  # from MAX_LABELLED documents
-    # every beginning of a candidate is one too, having at least its documents, so the shortest decide which words matter
     among = set(dt)
     dn = {r["term"]: r["n"] for r in sample.where("y = 0").select("text").mapInArrow(lambda b: counted(b, among), terms).groupBy("term").agg(F.sum("n").alias("n")).collect()}
     passed = {t: (n, dn.get(t, 0)) for t, n in dt.items() if signed_llr(n, nt, dn.get(t, 0), nn) >= least and n / nt > 4 * dn.get(t, 0) / nn}
     # of a beginning and a longer one with nearly as many documents, the longer stays; longer ones with fewer fall under it
     chosen: list[str] = []
+    begun: set[str] = set()
+    after: dict[str, list[str]] = {}
+    for u in passed:
+        after.setdefault(u[:-1], []).append(u[-1])
     for t in sorted(passed, key=lambda t: (len(t), t)):
-        if any(t.startswith(c) for c in chosen):
+        if any(t[:k] in begun for k in range(SHORTEST, len(t) + 1)):
             continue
-        while longer := [u for u in passed if len(u) == len(t) + 1 and u.startswith(t) and passed[u][0] >= 0.95 * passed[t][0]]:
+        while len(t) >= SHORTEST and (longer := sorted(t + c for c in after.get(t, ()) if passed[t + c][0] >= 0.95 * passed[t][0])):
             t = longer[0]
         chosen.append(t)
-    chosen = sorted(set(chosen), key=lambda t: (-passed[t][0], t))[:MAX_TERMS]
+        begun.add(t)
+    chosen = sorted(set(chosen), key=lambda t: (-passed[t][0], t))
     weights = [math.log((passed[t][0] + 0.5) / (nt + 1)) - math.log((passed[t][1] + 0.5) / (nn + 1)) for t in chosen]
     trial = Lexicon(chosen, weights, {k for k, t in enumerate(chosen) if len(t) >= FUZZY_FROM})
 
@@ -272,7 +285,7 @@ def fit(sample: DataFrame) -> Model | None:
 def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 3, held_out: int = 1, cut: float = 0.7, most: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, held_out, score (0 to 1) and predicted (1 if score >= cut).
 
-    Null texts are scored as empty ones. Without labels of both kinds every score is 0.5.
+    Null texts are scored as empty ones, very long ones whole. Without labels of both kinds every score is 0.5.
     Repeated rows get equal rows; an empty table gives none; other columns have no influence.
     """
     model = fit(labelled_sample(docs, labels, label_col, folds, held_out, most, id_col, text_col))

@@ -61,3 +61,67 @@ def test_held_out_accuracy(spark):
     p = tx.toxicity(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
     assert ((p.predicted == 1) == (p.toxic == 1)).mean() > 0.97
     assert (p[p.predicted == 1].toxic == 1).mean() > 0.95
+
+
+def brute_finds(text, lexicon):
+    """Each word against each term, by the definitions of exact and near finds."""
+    out = {}
+    for token in set(text.lower().split()):
+        word = token.strip(tx.STRIP)
+        exact = [k for k, t in enumerate(lexicon.terms) if (word.startswith(t) if len(t) >= tx.SHORTEST else word == t)]
+        if exact:
+            out[token] = (max(exact, key=lambda k: len(lexicon.terms[k])), 0)
+            continue
+        near = [k for k in lexicon.fuzzy if any(len(word) > e and within_one(lexicon.terms[k], word[: len(word) - e]) for e in range(tx.ENDING + 1 if len(lexicon.terms[k]) >= tx.ENDED_FROM else 1))]
+        if near:
+            out[token] = (max(near, key=lambda k: lexicon.weights[k]), 1)
+    return out
+
+
+def test_finds_and_scores_against_brute_force():
+    """Short and very long terms, misspelled inflected forms; and the score as the model defines it."""
+    import math
+    import random
+
+    import numpy as np
+
+    rng = random.Random(2)
+    terms = ["kys", "scum", "idiot", "worthless", "antidisestablishmentarian"]
+    lexicon = tx.Lexicon(terms, [5.0, 4.0, 3.0, 2.0, 1.0], {2, 3, 4})
+    words = []
+    for t in terms:
+        for _ in range(150):
+            w = list(t + rng.choice(["", "s", "ly", "ness", "er"]))
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                i = rng.randrange(len(w))
+                w[i : i + rng.choice([0, 1])] = rng.choice(["", "x", "e", "ss"])
+            words.append("".join(w))
+    words += ["kysan", "skys", '"kys"', "sc", "idio"]
+    text = " ".join(words)
+    assert lexicon.look(set(text.lower().split())) == brute_finds(text, lexicon)
+    model = tx.Model(lexicon, np.array([0.5, 0.4, -0.3, 0.2, 0.1, 0.05, 1.0, -2.0]))
+    for t in ("", "you idiot", "the word scum is a slur", "plain text here", text):
+        x = tx.features(t, lexicon)
+        z = sum(a * b for a, b in zip(x, [0.5, 0.4, -0.3, 0.2, 0.1, 0.05, 1.0])) - 2.0
+        assert abs(model.score([t])[0] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-12
+
+
+def test_short_and_long_terms_are_learned(spark):
+    rows, labels = [], []
+    for i in range(600):
+        bad = ("zog", "pfui", "unmitigatedblatherskites")[i % 3] if i % 2 else "fine"
+        rows.append((i, " ".join(f"w{(i * 7 + k) % 97}" for k in range(40)) + f" {bad} end"))
+        labels.append((i, i % 2))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in tx.toxicity(docs, labels).collect()}
+    assert got == {i: i % 2 for i in range(600)}
+
+
+def test_labels_of_the_held_out_fold_have_no_influence(docs, labels):
+    from pyspark.sql import functions as F
+
+    from cordon.llm.labelled import remainder
+
+    flipped = labels.withColumn("toxic", F.when(remainder("doc_id", 3) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (sorted(map(tuple, tx.toxicity(docs, x).select("doc_id", "score").collect())) for x in (labels, flipped))
+    assert a == b
