@@ -28,8 +28,8 @@ from cordon.llm.common import written
 
 CAPACITY = 2048
 END_ID = 1
-#: Shares of a length's pieces when they are ranked, so that no length fills one task.
-SALTS = 64
+#: Pieces of a length that one task ranks.
+SHARE = 100_000
 
 
 class CapacityTree:
@@ -90,34 +90,38 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return rows
 
 
-def ranked(pieces: DataFrame, capacity: int) -> DataFrame:
+def ranked(pieces: DataFrame, counts: dict[int, int], share: int | None = None) -> DataFrame:
     """`pieces` (length and piece_key, an order within a length) with their rank among those of equal length, from 0.
 
-    Pieces of a length are dealt into SALTS shares; the shares' counts, at most capacity *
-    SALTS rows, give each share the ranks before it.
+    Pieces of a length are dealt into shares of about `share`, as many as its count asks for; the
+    shares' counts, a row for each `share` pieces and length, give each share the ranks before it.
     """
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("piece_key"), F.lit(SALTS)).cast("int"))
+    share = share or SHARE
+    shares = F.array(*[F.lit(-(-counts.get(n, 0) // share)) for n in range(max(counts, default=0) + 1)])
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("piece_key"), F.greatest(F.get(shares, F.col("length").cast("int")), F.lit(1))).cast("int"))
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
-    shares = pieces.select("length", F.pmod(F.xxhash64("piece_key"), F.lit(SALTS)).cast("int").alias("salt")).groupBy("length", "salt").agg(F.count(F.lit(1)).alias("c"))
-    shares = shares.select("length", "salt", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("first"))
+    firsts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("c")).select("length", "salt", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("first"))
     own = W.partitionBy("length", "salt").orderBy("piece_key")
-    return salted.withColumn("own", F.row_number().over(own) - 1).join(F.broadcast(shares), ["length", "salt"]).withColumn("rank", F.col("own") + F.col("first")).drop("own", "first", "salt")
+    return salted.withColumn("own", F.row_number().over(own) - 1).join(F.broadcast(firsts), ["length", "salt"]).withColumn("rank", F.col("own") + F.col("first")).drop("own", "first", "salt")
 
 
 def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`pieces` with sequence_id and offset. `pieces` is read three times: pass a written table."""
     spark = pieces.sparkSession
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
-    rows = plan(counts, capacity)
-    steps = spark.createDataFrame(rows, "length long, from_rank long, n long, window long, per long, from_offset long")
-    at = F.col("rank") - F.col("from_rank")
+    by_length: dict[int, list] = defaultdict(list)
+    for length, *step in plan(counts, capacity):
+        by_length[length].append(tuple(step))
+    # a row a length, with its steps in order of their ranks; the plan's size follows the number of lengths, not the corpus
+    steps = spark.createDataFrame(list(by_length.items()), "length long, steps array<struct<from_rank: long, n: long, window: long, per: long, from_offset: long>>")
+    at = F.col("rank") - F.col("step.from_rank")
     return (
-        ranked(pieces, capacity)
-        .join(F.broadcast(steps), "length")  # the plan's rows follow the number of lengths, not the corpus
-        .where((at >= 0) & (at < F.col("n")))
-        .withColumn("sequence_id", F.col("window") + F.floor(at / F.col("per")))
-        .withColumn("offset", F.col("from_offset") + (at % F.col("per")) * F.col("length"))
-        .drop("rank", "from_rank", "n", "window", "per", "from_offset")
+        ranked(pieces, counts)
+        .join(F.broadcast(steps), "length")
+        .withColumn("step", F.element_at(F.filter("steps", lambda s: s["from_rank"] <= F.col("rank")), -1))
+        .withColumn("sequence_id", F.col("step.window") + F.floor(at / F.col("step.per")))
+        .withColumn("offset", F.col("step.from_offset") + (at % F.col("step.per")) * F.col("length"))
+        .drop("rank", "steps", "step")
     )
 
 
