@@ -40,9 +40,24 @@ from (select v.n_nationkey as vertical, a.n_nationkey as k, b.n_nationkey as i f
  where v.n_nationkey<2 and a.n_nationkey<6 and b.n_nationkey<5) z""",
     "points": """select o_orderkey as point_id, ((o_orderkey*7919)%5603)*1e0-300e0 as x,
  ((o_custkey*104729+o_orderkey)%5607)*1e0-300e0 as y from {orders}""",
-    "parks": """select p_partkey as park_id, ((p_partkey*977)%4800)*1e0 as x0, ((p_partkey*1409)%4800)*1e0 as y0,
- ((p_partkey*977)%4800)*1e0+60e0+(p_partkey%5)*40e0 as x1, ((p_partkey*1409)%4800)*1e0+60e0+(p_partkey%7)*40e0 as y1
-from {part}""",
+    "parks": """select park_id, x0, y0, x0+side*boost+(park_id%3) as x1, y0+side*boost+(park_id%4) as y1 from (
+ select p_partkey as park_id, ((p_partkey*977)%4800)*1e0 as x0, ((p_partkey*1409)%4800)*1e0 as y0,
+  case when cast(floor(((p_partkey*977)%4800)/1e3)+floor(((p_partkey*1409)%4800)/1e3) as bigint)%3=0 then 3e0 else 1e0 end as boost,
+  floor(sqrt(1e6/(select count(*) from {part}))) as side from {part}) z""",
+    "waters": """select water_id, x0, y0, x0+side*boost+(water_id%3) as x1, y0+side*boost+(water_id%4) as y1 from (
+ select s_suppkey as water_id, ((s_suppkey*1013)%4700)*1e0 as x0, ((s_suppkey*1423)%4700)*1e0 as y0,
+  case when cast(floor(((s_suppkey*1013)%4700)/1e3)+floor(((s_suppkey*1423)%4700)/1e3) as bigint)%4=1 then 4e0 else 1e0 end as boost,
+  floor(sqrt(4e5/(select count(*) from {supplier}))) as side from {supplier}) z""",
+    "quarters": """select case when right_top and n_nationkey%2=0 and n_nationkey%5<4 then n_nationkey+1 else n_nationkey end as old_id, x0, y0, x0+500e0 as x1, y0+500e0 as y1
+from (select n_nationkey, i=1 and j=1 as right_top, (n_nationkey%5)*1000e0+i*500e0 as x0, floor(n_nationkey/5e0)*1000e0+j*500e0 as y0
+ from {nation} cross join (select 0 as i union all select 1) a cross join (select 0 as j union all select 1) b) z""",
+    "streets": """select row_number() over (order by ax, ay, bx, by_) as road_id, ax, ay, bx, by_ from (
+ select ax, ay, bx, by_ from (
+  select old_id, x0 as ax, y0 as ay, x1 as bx, y0 as by_ from quarters union all select old_id, x1, y0, x1, y1 from quarters
+  union all select old_id, x0, y1, x1, y1 from quarters union all select old_id, x0, y0, x0, y1 from quarters) s
+ group by ax, ay, bx, by_ having count(*)=1 or count(distinct old_id)=2) t""",
+    "shapes": """select cast(dense_rank() over (order by corner)-1 as integer) as block_id, x0, y0, x1, y1
+from (select *, min(x0*1e6+y0) over (partition by old_id) as corner from quarters) z""",
     "quotes_hourly_h3": """select user_id%14 as h3_zone, cast(date_trunc('hour',ts) as :NTZ:) as hour_bucket, count(*) as quote_count,
  sum(case when event_type='purchase' then 1 else 0 end) as trip_count,
  sum(case when event_type='purchase' then 1 else 0 end)*1e0/count(*) as conversion_rate
@@ -55,11 +70,7 @@ from {events} group by user_id%14, date_trunc('hour',ts)""",
  ((h*17)%101)*1e0 as cloud_cover, 1000e0+((h*53)%20000) as visibility
 from (select hour_bucket, cast(row_number() over (order by hour_bucket)-1 as bigint) as h from (:SPINE:) s) t""",
 }
-NEEDS = {"adjacency": ("blocks",)}
-
-#: A total order of the rows of a quote.
-QUOTE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "quoted_price")
-
+NEEDS = {"adjacency": ("blocks",), "streets": ("quarters",), "shapes": ("quarters",)}
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = _with([name], f"select * from {name}", SPINE_SPARK, "timestamp_ntz")

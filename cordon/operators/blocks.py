@@ -6,14 +6,13 @@ over the cells that it covers; a point looks at its own cell and the eight aroun
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cordon.config import PARK_MAX, SNAP_M, WATER_MAX
 from cordon.functions.geo import along_segment, crosses, distance
+from cordon.shared import cut_lineage
 
 
 def cell_of(c: Column, size: float) -> Column:
@@ -59,37 +58,53 @@ def snap(points: DataFrame, roads: DataFrame, within: float = SNAP_M) -> DataFra
     return points.join(near, "point_id", "left").select("point_id", F.coalesce("nx", "x").alias("x"), F.coalesce("ny", "y").alias("y"), F.col("nx").isNotNull().alias("moved"))
 
 
+#: So many centres are compared with each point in one expression; more are looked up by grid cell.
+CENTERS = 1_000
+#: Edges of a hull that are held in an expression.
+HULL_EDGES = 10_000
+
+
 def nearest_center(points: DataFrame, centers: DataFrame) -> DataFrame:
     """Nearest center (block_id, cx, cy) of each point, without limit; of ties the largest id.
 
-    Centers are one row a block: a table of city size, whose rows are counted; up to CENTERS
-    they are broadcast, beyond that points search rings of growing width.
+    Points and centers with a missing or infinite coordinate are left out. Up to CENTERS
+    centers are constants of one expression: neither join nor shuffle. Of more, points search
+    rings of grid cells of growing width.
     """
-    if centers.count() <= CENTERS:
-        met = points.join(F.broadcast(centers))
-    else:
+    points, centers = finite(points, "x", "y"), finite(centers, "cx", "cy")
+    few = centers.select("block_id", "cx", "cy").limit(CENTERS + 1).collect()
+    if len(few) > CENTERS:
         return _nearest_by_rings(points, centers)
-    d = distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))
-    best = F.min_by(F.struct("block_id", d.alias("dist")), F.struct(d, -F.col("block_id")))
-    return met.groupBy("point_id").agg(best.alias("b")).select("point_id", "b.block_id", "b.dist")
+    if not few:
+        return points.select("point_id", F.lit(None).cast(centers.schema["block_id"].dataType).alias("block_id"), F.lit(None).cast("double").alias("dist")).where("false")
+    few.sort(key=lambda r: r["block_id"])
+    ids, xs, ys = (F.lit([r[c] for r in few]) for c in ("block_id", "cx", "cy"))
+    away = F.transform(F.sequence(F.lit(0), F.lit(len(few) - 1)), lambda i: F.struct(distance(F.col("x"), F.col("y"), F.get(xs, i), F.get(ys, i)).alias("dist"), (-i).alias("i")))
+    best = points.withColumn("b", F.array_min(away))
+    return best.select("point_id", F.get(ids, -F.col("b.i")).cast(centers.schema["block_id"].dataType).alias("block_id"), "b.dist")
 
 
-CENTERS = 50_000
+def finite(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows whose coordinates are numbers."""
+    for c in columns:
+        df = df.where(F.abs(c) < float("inf"))
+    return df
 
 
 def _nearest_by_rings(points: DataFrame, centers: DataFrame) -> DataFrame:
+    """Points look around in cells of growing width until all have a center; few are left after the first rounds, and each round cuts its lineage."""
     span = centers.agg(F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.min("cy").alias("y0"), F.max("cy").alias("y1"), F.count("*").alias("n")).first()
     size = max(1e-9, max(span["x1"] - span["x0"], span["y1"] - span["y0"]) / max(1.0, span["n"] ** 0.5))
-    found, left = None, points
+    found, left = None, points.select("point_id", "x", "y")
     while True:
         around = F.array(*[F.struct((cell_of(F.col("x"), size) + i).alias("gx"), (cell_of(F.col("y"), size) + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
         p = left.select("point_id", "x", "y", F.explode(around).alias("g")).select("point_id", "x", "y", "g.gx", "g.gy")
         met = p.join(centers.withColumns({"gx": cell_of(F.col("cx"), size), "gy": cell_of(F.col("cy"), size)}), ["gx", "gy"])
         d = distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))
         # within a cell's length nothing nearer can lie outside the nine cells
-        best = met.where(d <= size).groupBy("point_id").agg(F.min_by(F.struct("block_id", d.alias("dist")), F.struct(d, -F.col("block_id"))).alias("b")).select("point_id", "b.block_id", "b.dist")
+        best = cut_lineage(met.where(d <= size).groupBy("point_id").agg(F.min_by(F.struct("block_id", d.alias("dist")), F.struct(d, -F.col("block_id"))).alias("b")).select("point_id", "b.block_id", "b.dist"))
         found = best if found is None else found.unionByName(best)
-        left = points.join(found, "point_id", "left_anti")
+        left = cut_lineage(left.join(best, "point_id", "left_anti"))
         if left.isEmpty():
             return found
         size *= 4
@@ -113,24 +128,40 @@ def road_blocks(roads: DataFrame, blocks: DataFrame, cell: float = 1000.0) -> Da
 
 
 def in_ring(points: DataFrame, ring: DataFrame) -> DataFrame:
-    """Points strictly inside a ring given as edges (ax, ay, bx, by_); a hull's few edges are broadcast. Odd crossings are inside."""
-    met = points.join(F.broadcast(ring))
-    hit = crosses(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by_")))
-    return met.groupBy("point_id").agg(F.count_if(hit).alias("n")).where("n % 2 = 1").select("point_id")
-
+    """Rows of `points` (point_id) strictly inside a ring given as edges (ax, ay, bx, by_); odd crossings are inside.
 
-def assign_to_blocks(points: DataFrame, roads: DataFrame, blocks: DataFrame, hull: DataFrame, within: float = SNAP_M) -> DataFrame:
-    """Block of each point inside the hull: of the blocks that its nearest roads (ties included) touch the one with the
-    nearest centre, else the block with the nearest centre of all. way says which."""
+    A hull's edges are constants of one expression: no join, no shuffle, and each row of
+    `points` is looked at by itself. More than HULL_EDGES edges are an error.
+    """
+    edges = ring.select("ax", "ay", "bx", "by_").limit(HULL_EDGES + 1).collect()
+    if len(edges) > HULL_EDGES:
+        raise ValueError(f"a hull of more than {HULL_EDGES} edges: use rings.touching or simplify it")
+    if not edges:
+        return points.select("point_id").where("false")
+    ax, ay, bx, by = (F.lit([float(e[c]) for e in edges]) for c in ("ax", "ay", "bx", "by_"))
+    hit = lambda i: crosses(F.col("x"), F.col("y"), F.get(ax, i), F.get(ay, i), F.get(bx, i), F.get(by, i))
+    odd = F.size(F.filter(F.sequence(F.lit(0), F.lit(len(edges) - 1)), hit)) % 2 == 1
+    return points.where(odd).select("point_id")
+
+
+def assign_to_blocks(points: DataFrame, roads: DataFrame, touch: DataFrame, centers: DataFrame, hull: DataFrame, within: float = SNAP_M) -> DataFrame:
+    """Block of each point inside the hull: of the blocks that its nearest roads (ties included) touch (road_id, block_id) the
+    one with the nearest centre (block_id, cx, cy), else the block with the nearest centre of all. way says which.
+
+    Blocks may be boxes (road_blocks, box_centers) or polygons (rings.touching, rings.measures).
+    """
     inside = points.join(in_ring(points, hull), "point_id", "left_semi")
-    centers = blocks.select("block_id", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
-    by_road = nearest_segment(inside, roads, within, ties=True).join(road_blocks(roads, blocks), "road_id").select("point_id", "block_id").distinct()
+    by_road = nearest_segment(inside, roads, within, ties=True).join(touch, "road_id").select("point_id", "block_id").distinct()
     d = distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))
     first = by_road.join(centers, "block_id").join(inside, "point_id").groupBy("point_id").agg(F.min_by("block_id", F.struct(d, F.col("block_id"))).alias("block_id")).withColumn("way", F.lit("road"))
     rest = nearest_center(inside.join(first, "point_id", "left_anti"), centers).select("point_id", "block_id", F.lit("centre").alias("way"))
     return first.unionByName(rest)
 
 
+def box_centers(blocks: DataFrame) -> DataFrame:
+    return blocks.select("block_id", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+
+
 def coverage_fraction(blocks: DataFrame, areas: DataFrame, name: str, cell: float = 1000.0) -> DataFrame:
     """Adds {name}_area_m2 (overlap with boxes of `areas`, summed, at most the block's area) and {name}_fraction."""
     explode = lambda df, k: df.select(k, "x0", "y0", "x1", "y1", F.explode(cells_of_box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), cell)).alias("c"))
@@ -165,24 +196,22 @@ def boundary_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("e").agg(F.count("*").alias("n"), F.min("block_id").alias("block_id")).where("n = 1").select("e", "block_id")
 
 
-def main_component(blocks: DataFrame, adjacent: DataFrame) -> DataFrame:
-    """Blocks of the edge-connected component of the largest area, numbered anew (new_id) in order of the old ids."""
-    labels = blocks.select("block_id", F.col("block_id").alias("comp"))
+def components(blocks: DataFrame, adjacent: DataFrame) -> DataFrame:
+    """(block_id, comp): the smallest block that each reaches. Each round labels hear of neighbours' and then take their label's own, so that few rounds do for long chains."""
+    labels = cut_lineage(blocks.select("block_id", F.col("block_id").alias("comp")))
     while True:
         heard = adjacent.join(labels.withColumnRenamed("block_id", "dst"), "dst").groupBy(F.col("src").alias("block_id")).agg(F.min("comp").alias("m"))
-        new = labels.join(heard, "block_id", "left").select("block_id", F.least("comp", "m").alias("comp"), F.coalesce(F.col("m") < F.col("comp"), F.lit(False)).alias("moved"))
-        new = cut_lineage(new)
-        if new.where("moved").isEmpty():
-            break
+        mid = labels.join(heard, "block_id", "left").select("block_id", "comp", F.least("comp", "m").alias("mid"))
+        up = labels.select(F.col("block_id").alias("mid"), F.col("comp").alias("top"))
+        new = cut_lineage(mid.join(up, "mid", "left").select("block_id", F.least("mid", "top").alias("comp"), (F.least("mid", "top") < F.col("comp")).alias("moved")))
         labels = new.select("block_id", "comp")
+        if new.where("moved").isEmpty():
+            return labels
+
+
+def main_component(blocks: DataFrame, adjacent: DataFrame) -> DataFrame:
+    """Blocks of the edge-connected component of the largest area, numbered anew (new_id) in order of the old ids."""
+    labels = components(blocks, adjacent)
     best = blocks.join(labels, "block_id").groupBy("comp").agg(F.sum("area_m2").alias("a")).orderBy(F.desc("a"), "comp").limit(1)
     inside = blocks.join(labels, "block_id").join(F.broadcast(best.select("comp")), "comp", "left_semi").drop("comp")
     return inside.withColumn("new_id", F.row_number().over(W.orderBy("block_id")) - 1)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint(), in the session's folder or, where it has none, a temporary one."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cordon-"))
-    return df.checkpoint()

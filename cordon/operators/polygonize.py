@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cordon.functions.geo import ring_measures
-from cordon.operators.blocks import cells_of_box, segment_cells
+from cordon.operators.blocks import segment_cells
 
 
 def noded(roads: DataFrame, cell: float = 500.0, digits: int = 3) -> DataFrame:
@@ -74,42 +74,3 @@ def road_blocks(roads: DataFrame) -> DataFrame:
 def block_table(rings: DataFrame) -> DataFrame:
     """block_id, area and centre of rings."""
     return ring_measures(rings, ["block_id"])
-
-
-def clip_convex(subject: list[tuple[float, float]], clip: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """Part of a polygon inside a convex one given anticlockwise (Sutherland-Hodgman)."""
-    out = list(subject)
-    for (ax, ay), (bx, by) in zip(clip, clip[1:] + clip[:1]):
-        side = lambda p: (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax)  # noqa: B023, E731
-        given, out = out, []
-        for p, q in zip(given, given[1:] + given[:1]):
-            sp, sq = side(p), side(q)
-            if sp >= 0:
-                out.append(p)
-            if sp * sq < 0:
-                t = sp / (sp - sq)
-                out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-        if not out:
-            break
-    return out
-
-
-def area(ring: list[tuple[float, float]]) -> float:
-    return abs(sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]))) / 2 if len(ring) > 2 else 0.0
-
-
-def overlay_area(blocks: DataFrame, areas: DataFrame, cell: float = 1000.0) -> DataFrame:
-    """Overlap (block_id, area_id, overlap_m2) of convex blocks with polygons, both as ring tables (id, ring: array of struct(x, y), anticlockwise), met by grid cell."""
-    def boxed(df, key):
-        xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-        return df.select(F.col("id").alias(key), F.col("ring").alias(f"{key}_ring"), F.explode(cells_of_box(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys), cell)).alias("c"))
-
-    met = boxed(blocks, "block_id").join(boxed(areas, "area_id"), "c").drop("c").dropDuplicates(["block_id", "area_id"])
-
-    def run(batches):
-        for pdf in batches:
-            value = [area(clip_convex([(p["x"], p["y"]) for p in a], [(p["x"], p["y"]) for p in b])) for b, a in zip(pdf["block_id_ring"], pdf["area_id_ring"])]
-            yield pdf[["block_id", "area_id"]].assign(overlap_m2=value)
-
-    kinds = {f.name: f.dataType.simpleString() for f in met.schema}
-    return met.mapInPandas(run, f"block_id {kinds['block_id']}, area_id {kinds['area_id']}, overlap_m2 double").where("overlap_m2 > 0")

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from cordon.config import BBOX, MAX_ETT_DIFF_S, MAX_SPREAD_M, SEED
 from cordon.functions import gaps, rounded, seconds_between, sorted_prices
-from cordon.functions.geo import max_spread_m
-from cordon.lens import QUOTE_ORDER
+from cordon.functions.geo import EARTH_RADIUS_M, max_spread_m
+from cordon.shared import cut_lineage
 
 TS = "quote_creation_timestamp"
 PLACES = ("pickup_latitude", "pickup_longitude", "dropoff_latitude", "dropoff_longitude")
+#: A column of this name, if there is one, numbers the rows of the input.
+ORDINAL = "row_ordinal"
 CANONICAL = ("quote_id", TS, *PLACES, "quoted_price", "estimated_travel_time", "quote_converted")
 
 
@@ -26,8 +28,11 @@ def session():
 
 
 def row_order(df: DataFrame) -> list[str]:
-    """What orders rows of a call, in place of the order of the input file."""
-    return [c for c in QUOTE_ORDER if c in df.columns] or ["quoted_price"]
+    """What orders rows of a call, in place of the order of the input file: an ordinal (ORDINAL) if there is one, other
+    columns than a quote's in their order, the price, and all else, so that only equal rows are left in no order."""
+    can = [f.name for f in df.schema if f.name not in ("quote_id", TS) and not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    first = [c for c in can if c == ORDINAL] + [c for c in can if c != ORDINAL and c not in CANONICAL]
+    return [*first, *(["quoted_price"] if "quoted_price" in can else []), *(c for c in can if c in CANONICAL and c != "quoted_price")]
 
 
 def inside(lat: Column, lon: Column, bbox=BBOX) -> Column:
@@ -46,10 +51,26 @@ def bad_place(bbox=BBOX) -> Column:
     return ~F.bool_and(ok).over(session())
 
 
-def bad_spread(limit_m: float = MAX_SPREAD_M) -> Column:
-    """The pickup moved by more than the limit between any two rows."""
-    point = F.when(F.col(PLACES[0]).isNotNull() & F.col(PLACES[1]).isNotNull(), F.struct(F.col(PLACES[0]).alias("lat"), F.col(PLACES[1]).alias("lon")))
-    return max_spread_m(F.collect_set(point).over(session())) > limit_m
+def with_bad_spread(df: DataFrame, name: str, limit_m: float = MAX_SPREAD_M) -> DataFrame:
+    """Adds whether the pickup moved by more than the limit between any two rows of the session.
+
+    Bounds from the session's extent decide nearly all sessions; only for others are pairs of
+    distinct places compared, once a session.
+    """
+    known = F.col(PLACES[0]).isNotNull() & F.col(PLACES[1]).isNotNull()
+    lat, lon = (F.when(known, F.radians(c)) for c in PLACES[:2])
+    of = lambda f, c: f(c).over(session())
+    dlat, dlon = of(F.max, lat) - of(F.min, lat), of(F.max, lon) - of(F.min, lon)
+    half = lambda a: F.pow(F.sin(F.least(a, F.lit(3.141592653589793)) / 2), 2)
+    narrow, wide = F.cos(of(F.max, F.abs(lat))), F.cos(of(F.min, F.abs(lat)))
+    metres = lambda a: 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    least = metres(F.greatest(half(dlat), narrow * narrow * half(dlon)))
+    most = metres(half(dlat) + wide * wide * half(dlon))
+    point = F.when(known, F.struct(F.col(PLACES[0]).alias("lat"), F.col(PLACES[1]).alias("lon")))
+    by_bounds = F.when(most < limit_m * (1 - 1e-9), False).when(least > limit_m * (1 + 1e-9), True)
+    df = df.withColumns({"_bounds": F.when(most.isNull(), False).otherwise(by_bounds), "_first": F.row_number().over(session().orderBy(TS)) == 1, "_points": F.collect_set(point).over(session())})
+    pairs = F.when(F.col("_first") & F.col("_bounds").isNull(), max_spread_m(F.col("_points")) > limit_m)
+    return df.withColumn(name, F.coalesce("_bounds", F.max(pairs).over(session()), F.lit(False))).drop("_bounds", "_first", "_points")
 
 
 def with_call_ett(df: DataFrame) -> DataFrame:
@@ -64,8 +85,8 @@ def bad_ett(limit_s: float = MAX_ETT_DIFF_S) -> Column:
 
 def flagged(df: DataFrame, bbox=BBOX, spread_m: float = MAX_SPREAD_M, ett_s: float = MAX_ETT_DIFF_S) -> DataFrame:
     """Rows with f1 to f4: whether each filter drops their session. Dealt by quote_id once."""
-    dealt = with_call_ett(df.repartition("quote_id"))
-    return dealt.select(*df.columns, bad_conversion().alias("f1"), bad_place(bbox).alias("f2"), bad_spread(spread_m).alias("f3"), bad_ett(ett_s).alias("f4"))
+    dealt = with_bad_spread(with_call_ett(df.repartition("quote_id")), "f3", spread_m)
+    return dealt.select(*df.columns, bad_conversion().alias("f1"), bad_place(bbox).alias("f2"), "f3", bad_ett(ett_s).alias("f4"))
 
 
 def filter_inconsistent_conversion(df: DataFrame) -> DataFrame:
@@ -77,7 +98,7 @@ def filter_outside(df: DataFrame, bbox=BBOX) -> DataFrame:
 
 
 def filter_location_spread(df: DataFrame, limit_m: float = MAX_SPREAD_M) -> DataFrame:
-    return df.withColumn("_bad", bad_spread(limit_m)).where("not _bad").drop("_bad")
+    return with_bad_spread(df, "_bad", limit_m).where("not _bad").drop("_bad")
 
 
 def filter_ett_variation(df: DataFrame, limit_s: float = MAX_ETT_DIFF_S) -> DataFrame:
@@ -101,6 +122,15 @@ def drop_counts(df: DataFrame, **limits) -> DataFrame:
     )
 
 
+def filter_counts(df: DataFrame, bbox=BBOX) -> DataFrame:
+    """Rows and sessions before and after the filters of conversion and place, one after the other."""
+    one = df.withColumns({"f1": bad_conversion(), "f2": bad_place(bbox)}).groupBy("quote_id").agg(F.count("*").alias("n"), F.max("f1").alias("f1"), F.max("f2").alias("f2"))
+    step = lambda name, before, after: one.agg(
+        F.lit(name).alias("step"), *[F.sum(F.when(F.expr(c), F.col("n")).otherwise(0)).alias(f"rows_{k}") for k, c in (("before", before), ("after", after))], *[F.count_if(F.expr(c)).alias(f"quotes_{k}") for k, c in (("before", before), ("after", after))]
+    )
+    return step("conversion", "true", "not f1").unionByName(step("place", "not f1", "not f1 and not f2"))
+
+
 def canonical_location(df: DataFrame) -> DataFrame:
     """Every row gets the places of its session's last call (of ties, of the first row)."""
     last = session().orderBy(F.col(TS).desc(), *row_order(df)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -214,16 +244,22 @@ def describe(df: DataFrame, column: str, digits: int = 6) -> DataFrame:
 
 
 def ecdf(df: DataFrame, column: str, key: str) -> DataFrame:
-    """Empirical distribution: row number over count, in rising order of the value. Ranks are made from counts of values, not in one window over all rows."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    below = W.orderBy(column).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        df.join(counts.withColumn("before", F.coalesce(F.sum("n").over(below), F.lit(0))), column)
-        .withColumn("rank", F.row_number().over(W.partitionBy(column).orderBy(key)) + F.col("before"))
-        .join(F.broadcast(total))
-        .select(key, column, (F.col("rank") / F.col("total")).alias("cdf"))
-    )
+    """Empirical distribution: row number over count, in rising order of the value and then of `key`.
+
+    Rows are range-partitioned by both, so that a value of most rows is no single task; a
+    row's number is its place in its partition and the rows of the partitions before.
+    """
+    spark = df.sparkSession
+    dealt = df.where(F.col(column).isNotNull()).select(key, column).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), column, key)
+    placed = cut_lineage(dealt.sortWithinPartitions(column, key).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    before, total = [], 0
+    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row a partition
+        before.append((r["part"], total))
+        total += r["count"]
+    before = spark.createDataFrame(before, "part long, before long")
+    number = F.col("before") + F.col("at") - F.shiftleft("part", 33) + 1
+    return placed.withColumn("part", part).join(F.broadcast(before), "part").select(key, column, (number / F.lit(max(total, 1))).alias("cdf"))
 
 
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:

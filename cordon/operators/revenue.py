@@ -70,8 +70,8 @@ def local_time_columns(trips: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
 
 
 def dated_trips(trips: DataFrame, quotes: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
-    """Trips with local date and hour of their quote, found by quote_id; the timestamp goes."""
-    stamps = quotes.select("quote_id", "quote_creation_timestamp").dropDuplicates(["quote_id"])
+    """Trips with local date and hour of their quote's last call, found by quote_id; the timestamp goes."""
+    stamps = quotes.groupBy("quote_id").agg(F.max("quote_creation_timestamp").alias("quote_creation_timestamp"))
     return local_time_columns(trips.join(stamps, "quote_id", "left"), zone).drop("quote_creation_timestamp")
 
 
@@ -105,13 +105,17 @@ def local_maxima(unilateral: DataFrame, adjacency: DataFrame) -> DataFrame:
     return mine.join(beaten, "block_id", "left_anti")
 
 
-def seeds(maxima: DataFrame, adjacency: DataFrame, k: int) -> DataFrame:
+def seeds(maxima: DataFrame, adjacency: DataFrame, k: int, centers: DataFrame | None = None, box: tuple[float, float, float, float] | None = None) -> DataFrame:
     """The k best maxima of which none lies within two steps of a better one, chosen in order of revenue, then id.
 
-    Choosing is sequential; maxima and the two-step neighbours among them are few, and are
-    collected in that order.
+    With `centers` (block_id, cx, cy) and a box (x0, y0, x1, y1), only blocks whose centre is
+    in the box. Choosing is sequential; maxima and the two-step neighbours among them are of
+    city size, and are collected in that order.
     """
     spark = maxima.sparkSession
+    if box is not None:
+        middle = centers.where(F.col("cx").between(box[0], box[2]) & F.col("cy").between(box[1], box[3])).select("block_id")
+        maxima = maxima.join(middle, "block_id", "left_semi")
     step = adjacency.select("src", "dst")
     two = step.union(step.join(step.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far"))).distinct()
     ids = maxima.select(F.col("block_id").alias("src"))

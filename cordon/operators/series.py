@@ -23,6 +23,16 @@ def zone_stability(counts: DataFrame, hours: int, min_fill: float = 0.85, max_cv
     return per.withColumns({"cv_risk": F.when(F.col("cv") <= max_cv, f"cv_{round(max_cv * 100)}").otherwise("unstable"), "kept": F.col("fill") >= min_fill})
 
 
+def zones_labelled(stability: DataFrame, label: str) -> DataFrame:
+    """Zones that carry a risk label, each once, in order: those that are forecast."""
+    return stability.where(F.col("cv_risk") == label).select("h3_zone").distinct().orderBy("h3_zone")
+
+
+def with_actuals(forecast: DataFrame, actual: DataFrame) -> DataFrame:
+    """The forecast with the counts of its hours (h3_zone, ds, y), null where there are none."""
+    return forecast.join(actual.select("h3_zone", "ds", "y"), ["h3_zone", "ds"], "left")
+
+
 def with_weather(counts: DataFrame, weather: DataFrame) -> DataFrame:
     """Weather of the hour for all zones. Weather has a row an hour, thousands a year, and is broadcast."""
     return counts.join(F.broadcast(weather), "hour_bucket", "left")
@@ -151,6 +161,14 @@ def coverage_summary(metrics: DataFrame) -> DataFrame:
     return per.agg(rounded(F.percentile("m", 0.5), 6).alias("median_mape"), rounded(F.percentile("c", 0.5), 6).alias("median_coverage"), F.count("*").alias("n_zones"))
 
 
+def tuned_summary(default: DataFrame, tuned: DataFrame) -> DataFrame:
+    """Per zone mean coverage and mean MAPE with default and tuned parameters, in rising order of coverage, and the medians of both MAPEs over zones."""
+    per = lambda m, name: m.groupBy("h3_zone").agg(F.avg("mape").alias(f"{name}_mape"), F.avg("coverage").alias(f"{name}_coverage"))
+    both = per(default, "default").join(per(tuned, "tuned"), "h3_zone")
+    medians = both.agg(F.percentile("default_mape", 0.5).alias("median_default_mape"), F.percentile("tuned_mape", 0.5).alias("median_tuned_mape"))
+    return both.join(F.broadcast(medians)).orderBy("tuned_coverage", "h3_zone")
+
+
 def model_table(metrics: DataFrame, models: list[str], keys: tuple[str, ...] = ("h3_zone",)) -> DataFrame:
     """Median MAPE with one column a model."""
     return metrics.groupBy(*keys).pivot("model", models).agg(F.percentile("mape", 0.5))

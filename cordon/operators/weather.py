@@ -109,5 +109,10 @@ def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     return df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"))
 
 
+def hour_counts(counts: DataFrame) -> DataFrame:
+    """Quotes by hour of the day."""
+    return counts.groupBy(F.hour("hour_bucket").alias("hour")).agg(F.sum("quote_count").alias("n"))
+
+
 def missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cordon.config import MAX_ITERATIONS, SA_ITERATIONS
 from cordon.lens import duck, view
 from cordon.operators import models as m
 from cordon.operators import optimise as op
 from cordon.operators import polygonize as pg
 from cordon.operators import revenue as rv
+from cordon.operators import rings
 from cordon.operators import series as sr
 from cordon.plans import series_queries as sq
 from cordon.plans import zone_queries as zq
 from cordon.sources import files
 
-CAP_KM2, HOURS = 8.0, [8, 9, 10, 11]
+HOURS = list(zq.HOURS)
 
 
 def city(s, d):
@@ -22,27 +24,49 @@ def city(s, d):
 
 
 def seed_list(s, d):
-    return [r["block_id"] for r in rv.top_blocks(zq.unilateral(s, d), 3).collect()]
+    """Separated local maxima, best first."""
+    return [r["block_id"] for r in zq.seeds(s, d, zq.WHOLE_BOX).orderBy("seed_rank").collect()]
 
 
 def multi_start(s, d, mode):
-    return op.run_all(s, op.multi_start(s, seed_list(s, d), mode), city(s, d), 60, CAP_KM2)
+    return op.run_all(s, op.multi_start(s, seed_list(s, d), mode), city(s, d), SA_ITERATIONS if mode == "sa" else MAX_ITERATIONS)
 
 
 def history(s, d):
-    return op.run_all(s, op.multi_start(s, seed_list(s, d)), city(s, d), 60, CAP_KM2, history=True)
+    return op.run_all(s, op.multi_start(s, seed_list(s, d)), city(s, d), MAX_ITERATIONS, history=True)
 
 
 def sa_grid(s, d):
-    return op.grid_pivot(op.run_all(s, op.schedule_grid(s, seed_list(s, d)[0]), city(s, d), 40, CAP_KM2))
+    """All schedules from the seed of the best greedy run."""
+    seed = op.best_run(multi_start(s, d, "greedy")).first()["seed_block"]
+    return op.grid_pivot(op.run_all(s, op.schedule_grid(s, seed), city(s, d), SA_ITERATIONS))
 
 
-def breathing(s, d):
+def hourly_both(s, d):
     hourly = rv.hourly_lookups(zq.dated(s, d), hours=HOURS)
     there = hourly.select("hour", F.col("pickup_block").alias("block"), F.col("dropoff_block").alias("other"), "revenue")
     back = hourly.where("pickup_block <> dropoff_block").select("hour", F.col("dropoff_block").alias("block"), F.col("pickup_block").alias("other"), "revenue")
-    both = there.unionByName(back).groupBy("hour", "block", "other").agg(rv.money_sum("revenue").alias("revenue"))
-    return op.breathe(s, view(s, d, "blocks"), view(s, d, "adjacency"), both, hourly, seed_list(s, d)[0], HOURS, CAP_KM2, least=3, iterations=40)
+    return hourly, there.unionByName(back).groupBy("hour", "block", "other").agg(rv.money_sum("revenue").alias("revenue"))
+
+
+def breathing(s, d):
+    hourly, both = hourly_both(s, d)
+    return op.breathe(s, view(s, d, "blocks"), view(s, d, "adjacency"), both, hourly, seed_list(s, d)[0], HOURS)
+
+
+def breathing_static(s, d):
+    """The hourly zones against one zone for all hours, annealed on the hours' revenue together."""
+    hourly, _ = hourly_both(s, d)
+    together = rv.block_lookup(hourly.groupBy("pickup_block", "dropoff_block").agg(rv.money_sum("revenue").alias("revenue")))
+    fixed = op.run_all(s, op.multi_start(s, seed_list(s, d)[:1], "sa"), op.City.collect(view(s, d, "blocks"), view(s, d, "adjacency"), together), SA_ITERATIONS)
+    static = fixed.select(F.explode("blocks").alias("block_id"))
+    return rv.breathing_compare(static, breathing(s, d).select("hour", F.explode("blocks").alias("block_id")), hourly)
+
+
+def sensitivity(s, d):
+    """The schedule of the largest revenue."""
+    seed = op.best_run(multi_start(s, d, "greedy")).first()["seed_block"]
+    return op.best_run(op.run_all(s, op.schedule_grid(s, seed), city(s, d), SA_ITERATIONS)).select("t_start", "cooling", "revenue")
 
 
 def full_series(s, d):
@@ -93,9 +117,8 @@ def road_polygons(s, d):
 
 
 def overlay(s, d):
-    ring = lambda key: F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))])
-    boxes = lambda name, key: view(s, d, name).select(F.col(key).alias("id"), ring(key).alias("ring"))
-    return pg.overlay_area(boxes("blocks", "block_id"), boxes("parks", "park_id"))
+    boxes = zq.box_rings(s, d, "blocks", "block_id").withColumnRenamed("area_id", "block_id")
+    return rings.overlaps(boxes, zq.box_rings(s, d, "parks", "park_id"))
 
 
 QUERIES = {
@@ -105,16 +128,18 @@ QUERIES = {
     "search_history": history,
     "sa_grid": sa_grid,
     "breathing_transitions": breathing,
+    "breathing_static": breathing_static,
+    "sensitivity_best": sensitivity,
     "ols_forecast": lambda s, d: forecast(s, d, one(s, "ols")),
     "additive_forecast": lambda s, d: forecast(s, d, one(s, "full_temp_vis")),
     "forecast_components": lambda s, d: forecast(s, d, one(s, "lags"), components=True),
     "backtest": backtest,
     "grid_search": grid,
     "tuned_metrics": tuned,
+    "tuned_summary": lambda s, d: sr.tuned_summary(sr.day_metrics(forecast(s, d, one(s, "full_temp_vis")), sq.EVAL_START[:10]), tuned(s, d)),
     "production_forecast": production,
     "road_polygons": road_polygons,
     "overlay_area": overlay,
-    "holidays": lambda s, d: files.holidays(s),
 }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quote_queries", "zone_queries", "series_queries", "model_queries")
+MODULES = ("quote_queries", "zone_queries", "series_queries", "model_queries", "source_queries")
 
 
 def _all(what: str) -> dict:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,12 +54,20 @@ def load_roads(ways: DataFrame, bbox=BBOX, road_types: list[str] = ROAD_TYPES) -
     return pairs.select(F.concat_ws(":", "way_id", "i").alias("road_id"), F.col("s.a.east").alias("ax"), F.col("s.a.north").alias("ay"), F.col("s.b.east").alias("bx"), F.col("s.b.north").alias("by_"))
 
 
-def load_areas(polygons: DataFrame, tags: dict[str, list[str]] = PARK_TAGS) -> DataFrame:
-    """Polygons (properties map, vertices) of which any tag is in its list; single rings are numbered as area_id. Rings of fewer than three corners go."""
+def load_areas(polygons: DataFrame, tags: dict[str, list[str]] = PARK_TAGS, degrees: bool = False) -> DataFrame:
+    """Polygons (properties map, vertices) of which any tag is in its list, with area_id for each part; holes stay, as rings from 1 on.
+
+    `degrees` says that x and y are longitude and latitude; they are projected to the grid.
+    Rings of fewer than three corners go. Rings that cross themselves need no repair, since
+    areas and insides follow the even-odd rule (operators.rings). Places under bridges are
+    taken off where coverage is measured (rings.coverage with roads).
+    """
     match = reduce(lambda a, b: a | b, [F.coalesce(F.col("properties")[k].isin(v), F.lit(False)) for k, v in tags.items()])
-    chosen = polygons.where(match & (F.col("ring") == 0))
-    sized = chosen.groupBy("feature", "part").agg(F.count("*").alias("n")).where("n > 3").select("feature", "part")
-    return chosen.join(sized, ["feature", "part"], "left_semi").withColumn("area_id", F.concat_ws(":", "feature", "part"))
+    chosen = polygons.where(match)
+    if degrees:
+        chosen = with_grid(chosen, "y", "x").drop("x", "y").withColumnsRenamed({"east": "x", "north": "y"})
+    sized = chosen.groupBy("feature", "part", "ring").agg(F.count("*").alias("n")).where("n > 3").select("feature", "part", "ring")
+    return chosen.join(sized, ["feature", "part", "ring"], "left_semi").withColumn("area_id", F.concat_ws(":", "feature", "part"))
 
 
 def read_weather(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -69,12 +78,40 @@ def read_weather(spark: SparkSession, path: str, start: str | None = None, end:
     return raw if end is None else raw.where(F.col("hour_bucket") < F.lit(end).cast("timestamp_ntz"))
 
 
-#: Bank holidays of England and Wales.
-UK_HOLIDAYS = {
-    "2025-01-01": "New Year's Day", "2025-04-18": "Good Friday", "2025-04-21": "Easter Monday", "2025-05-05": "May Day", "2025-05-26": "Spring Bank Holiday", "2025-08-25": "Late Summer Bank Holiday", "2025-12-25": "Christmas Day", "2025-12-26": "Boxing Day",
-    "2026-01-01": "New Year's Day", "2026-04-03": "Good Friday", "2026-04-06": "Easter Monday", "2026-05-04": "May Day", "2026-05-25": "Spring Bank Holiday", "2026-08-31": "Late Summer Bank Holiday", "2026-12-25": "Christmas Day", "2026-12-28": "Boxing Day (substitute)",
-    "2027-01-01": "New Year's Day", "2027-03-26": "Good Friday", "2027-03-29": "Easter Monday", "2027-05-03": "May Day", "2027-05-31": "Spring Bank Holiday", "2027-08-30": "Late Summer Bank Holiday", "2027-12-27": "Christmas Day (substitute)", "2027-12-28": "Boxing Day (substitute)",
-}
+def easter(year: int) -> date:
+    """Easter Sunday (the anonymous Gregorian rule)."""
+    a, (b, c) = year % 19, divmod(year, 100)
+    d, e = divmod(b, 4)
+    g = (8 * b + 13) // 25
+    h = (19 * a + b - d - g + 15) % 30
+    i, k = divmod(c, 4)
+    m = (a + 11 * h) // 319
+    r = (2 * e + 2 * i - k - h + m + 32) % 7
+    month = (h - m + r + 90) // 25
+    return date(year, month, (h - m + r + month + 19) % 32)
+
+
+def bank_holidays(years) -> list[tuple[str, str]]:
+    """Public holidays of the United Kingdom as a whole (day, name): the days themselves, and substitutes for those on a weekend."""
+    out = []
+    for y in years:
+        sunday = easter(y)
+        first_monday = lambda m: date(y, m, 1) + timedelta((7 - date(y, m, 1).weekday()) % 7)  # noqa: B023, E731
+        last_monday = lambda m: date(y, m, 31) - timedelta(date(y, m, 31).weekday())  # noqa: B023, E731
+        days = [(date(y, 1, 1), "New Year's Day"), (sunday - timedelta(2), "Good Friday"), (sunday + timedelta(1), "Easter Monday"), (first_monday(5), "May Day"), (last_monday(5), "Spring Bank Holiday"), (last_monday(8), "Late Summer Bank Holiday"), (date(y, 12, 25), "Christmas Day"), (date(y, 12, 26), "Boxing Day")]
+        taken = {d for d, _ in days}
+        for d, name in list(days):
+            if d.weekday() >= 5:
+                free = d
+                while free.weekday() >= 5 or free in taken:
+                    free += timedelta(1)
+                taken.add(free)
+                days.append((free, f"{name} (substitute)"))
+        out += days
+    return [(d.isoformat(), name) for d, name in sorted(out)]
+
+
+UK_HOLIDAYS = dict(bank_holidays(range(2025, 2028)))
 
 
 def holidays(spark: SparkSession) -> DataFrame:

@@ -96,3 +96,46 @@ def test_drop_counts_add_up(spark, sf):
 def test_describe(spark, values, want):
     r = q.describe(spark.createDataFrame([(v,) for v in values], "v double"), "v").first()
     assert (r.n, r["mean"], r.p25, r.p50, r.p75) == want
+
+
+def test_spread_by_bounds_and_by_pairs_is_the_same(spark):
+    """Random sessions around the limit, against all pairs."""
+    import math
+    import random
+
+    rng, rows, where = random.Random(3), [], {}
+    for n in range(120):
+        places = [(51.5 + rng.uniform(0, 1.3) * KM * rng.choice([0.2, 0.8, 1]), -0.1 + rng.uniform(0, 1.3) * KM) for _ in range(rng.randint(1, 6))]
+        where[f"s{n:03}"] = places
+        rows += [(f"s{n:03}", {"la": a, "lo": o}) for a, o in places]
+    rows.append(("s000", {"la": None}))
+
+    def metres(p, r):
+        (a, b), (c, d) = (map(math.radians, x) for x in (p, r))
+        h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+        return 2 * 6_371_000 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    want = sorted(k for k, v in where.items() if max(metres(x, y) for x in v for y in v) <= 1000)
+    assert ids(q.filter_location_spread(frame(spark, *rows))) == want and 20 < len(want) < 110
+
+
+def test_a_session_of_ten_thousand_calls(spark):
+    df = spark.range(10_000).selectExpr("'bot' as quote_id", "timestamp'2026-03-01 08:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) as quote_creation_timestamp", "51.5 + id * 1e-8 as pickup_latitude", "-0.1D as pickup_longitude", "51.5D as dropoff_latitude", "-0.1D as dropoff_longitude", "10D as quoted_price", "300D as estimated_travel_time", "false as quote_converted", "cast(id as int) as l_linenumber")
+    assert q.clean(df).count() == 10_000
+    assert q.clean(df.withColumn("pickup_latitude", df.pickup_latitude + df.l_linenumber * 1e-6)).count() == 0
+
+
+def test_ranks_of_a_value_that_most_rows_share(spark):
+    df = spark.range(5000).selectExpr("id as k", "case when id % 10 = 0 then id else 1 end as v").union(spark.createDataFrame([(9999, None)], "k long, v long"))
+    got = [(r.k, r.cdf) for r in q.ecdf(df, "v", "k").collect()]
+    order = sorted(range(5000), key=lambda i: (i if i % 10 == 0 else 1, i))
+    assert dict(got) == {k: (n + 1) / 5000 for n, k in enumerate(order)}
+
+
+def test_ties_of_quotes_without_an_ordinal_dont_depend_on_partitions(spark):
+    rows = [("a", {"la": 51.4 + k * 1e-3, "price": 10.0}) for k in range(9)]
+    df = frame(spark, *rows).drop("l_linenumber")
+    first = {r.pickup_latitude for r in q.canonical_location(df).collect()}
+    assert len(first) == 1 and first == {r.pickup_latitude for r in q.canonical_location(df.repartition(7)).collect()}
+    numbered = df.withColumn("row_ordinal", -df.pickup_latitude)
+    assert {r.pickup_latitude for r in q.canonical_location(numbered).collect()} == {51.408}

@@ -79,3 +79,25 @@ def test_streamed_counts_equal_counted_ones(spark, sf, tmp_path):
     assert final.exceptAll(got).count() == 0 and got.exceptAll(whole.select(*got.columns)).count() == 0
     s = zone_counts.drained(zone_counts.sessions(stream, "user_id"), "sessions", str(tmp_path / "cp2"))
     assert 0 < s.agg(F.sum("calls")).first()[0] <= events.count()
+
+
+def test_bank_holidays_and_substitutes():
+    """Published dates of three years; a holiday on a weekend is listed with its substitute."""
+    days = dict(files.bank_holidays(range(2025, 2028)))
+    easters = {2025: "2025-04-18", 2026: "2026-04-03", 2027: "2027-03-26"}
+    assert all(days[d] == "Good Friday" for d in easters.values())
+    assert {d for d in days if d.startswith("2026-12")} == {"2026-12-25", "2026-12-26", "2026-12-28"}
+    assert {d for d in days if d.startswith("2027-12")} == {"2027-12-25", "2027-12-26", "2027-12-27", "2027-12-28"}
+    assert days["2027-12-27"] == "Christmas Day (substitute)" and days["2025-08-25"] == "Late Summer Bank Holiday" and len(days) == 27
+
+
+def test_areas_keep_holes_and_are_projected(spark):
+    ring = lambda r, pts: [(0, {"natural": "water"}, 0, r, k, x, y) for k, (x, y) in enumerate(pts)]
+    rows = ring(0, [(-0.10, 51.50), (-0.09, 51.50), (-0.09, 51.51), (-0.10, 51.51), (-0.10, 51.50)]) + ring(1, [(-0.097, 51.502), (-0.094, 51.502), (-0.094, 51.505), (-0.097, 51.502)])
+    v = spark.createDataFrame(rows, "feature int, properties map<string, string>, part int, ring int, seq int, x double, y double")
+    got = files.load_areas(v, config.WATER_TAGS, degrees=True)
+    assert {r.ring for r in got.collect()} == {0, 1} and got.agg({"x": "min"}).first()[0] > 500_000
+    from cordon.operators import rings
+
+    whole, holed = (rings.measures(x.drop("properties"), "area_id").first().area_m2 for x in (got.where("ring = 0"), got))
+    assert 700_000 < holed < whole < 800_000
