@@ -83,11 +83,11 @@ def log_ratios(grams: DataFrame, trusted: DataFrame) -> DataFrame:
     trusted documents all ratios are 0.
     """
     spark = grams.sparkSession
-    counts = lambda df, name: df.select(F.explode("b").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias(name))
     chosen = written(trusted.where("t is not null").distinct(), "trusted")
     way = "broadcast" if chosen.count() <= LISTED else "merge"
-    raw, good = counts(grams, "raw"), counts(grams.join(chosen.hint(way), F.col("i") == F.col("t"), "left_semi"), "good")
-    both = spark.range(BUCKETS).join(F.broadcast(raw), F.col("id") == raw["k"], "left").join(F.broadcast(good), F.col("id") == good["k"], "left")  # BUCKETS rows each at most
+    flagged = grams.join(chosen.hint(way), F.col("i") == F.col("t"), "left").select(F.col("t").isNotNull().cast("long").alias("is_good"), F.explode("b").alias("k"))
+    counts = flagged.groupBy("k").agg(F.count(F.lit(1)).alias("raw"), F.sum("is_good").alias("good"))
+    both = spark.range(BUCKETS).join(F.broadcast(counts), F.col("id") == F.col("k"), "left")  # BUCKETS rows at most
     both = both.select("id", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
     one = both.agg(F.array_sort(F.collect_list(F.struct("id", "raw", "good"))).alias("c"), F.sum("raw").alias("n"), F.sum("good").alias("g"))
     ratio = lambda x: F.log((x["good"] + 1) / (F.col("g") + BUCKETS)) - F.log((x["raw"] + 1) / (F.col("n") + BUCKETS))
@@ -98,6 +98,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     """One row per row of `docs`: id, the base counts, base_failed, llr (mean log-likelihood ratio) and kept.
 
     Texts are read once: their base counts and buckets are written, then counted, then scored.
+    With `carry`, where the texts would have to be written too, they are read twice instead.
     Null and empty texts have no words, fail the base rules and have llr 0; very long ones are
     read whole. Repeated rows get equal rows; each counts in the corpus. An empty table gives
     no rows. Other columns, of `trusted` too, are ignored, or with `carry` come along as the struct `row`.
@@ -108,7 +109,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
         ngram_buckets(F.col(text_col)).alias("b"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
     )
-    measured = written(measured, "text-measures")
+    measured = measured if carry else written(measured, "text-measures")
     ratios = log_ratios(measured.select("i", "b"), trusted.select(F.col(id_col).alias("t"))).first()["w"]  # BUCKETS numbers, whatever the input
     weights = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # folded into one constant
     mean = lambda b, w: F.when(F.size(b) > 0, F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(w, x)) / F.size(b)).otherwise(0.0)
