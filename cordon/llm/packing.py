@@ -19,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -156,19 +157,22 @@ def id_type(path: str, end_id: int) -> str:
 
 
 def cut(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, piece_key; with_ids: also ids (binary, 16-bit if the vocabulary allows)."""
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, piece_key (id, start and crc);
+    with_ids: also ids (binary: 16-bit if the vocabulary allows, as a zstd frame of their own)."""
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, piece_key binary" + ", ids binary" * with_ids
 
     def run(batches):
         tokens = file_tokens(path)
-        narrow = id_type(path, end_id)
+        narrow, frame = id_type(path, end_id), zstandard.ZstdCompressor(level=3, write_checksum=False).compress
         for batch in batches:
             names, rows = batch.column(0).to_pylist(), []
             for name, text in zip(names, batch.column(1).to_pylist()):
                 ids = np.append(tokens.ids(text), np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(ids), capacity):
-                    piece = ids[start : start + capacity].tobytes()
-                    rows.append((name, start, len(piece) // 4, zlib.crc32(piece), len(ids), f"{name!r} {start:012d}".encode(), *([ids[start : start + capacity].astype(narrow).tobytes()] if with_ids else [])))
+                    piece = ids[start : start + capacity]
+                    crc = zlib.crc32(piece.tobytes())
+                    packed = [frame(piece.astype(narrow).tobytes())] if with_ids else []
+                    rows.append((name, start, len(piece), crc, len(ids), f"{name!r} {start:012d} {crc:08x}".encode(), *packed))
             types = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             labels = [id_col, "start", "length", "ids_crc32", "doc_tokens", "piece_key", "ids"]
             cols = list(zip(*rows)) if rows else [[]] * (6 + with_ids)
@@ -177,12 +181,12 @@ def cut(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, tex
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and piece_key).
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is one piece of one id, the end. Repeated rows are documents of
-    their own. Ties of length go by identifier and start. An empty table gives no rows. Other
+    their own. Ties of length go by identifier, start and crc of the ids. An empty table gives no rows. Other
     columns are ignored. Texts are encoded once; the pieces, without ids, are written, then ranked.
     """
     pieces = written(cut(docs, path, capacity, end_id, id_col, text_col, False), "pieces")
-    return placed(pieces, capacity).select(id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.col("offset").cast("long").alias("offset"), *(["piece_key"] if with_key else []))
+    return placed(pieces, capacity).select(id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.col("offset").cast("long").alias("offset"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cordon.llm.packing import CAPACITY, END_ID, cut, id_type, pack
+from cordon.llm.common import written
+from cordon.llm.packing import CAPACITY, END_ID, cut, id_type, placed
 
 PAD_ID = 0
 
@@ -27,24 +29,24 @@ def matrices(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
     gives no rows; other columns are ignored. A sequence has at most `capacity` ids, so that
     its group is bounded.
     """
-    # Ids travel twice, to their places and to their sequences; encoding again is cheaper than keeping them meanwhile.
-    key = ["piece_key", "length", "ids_crc32"]
-    places = pack(docs, path, capacity, end_id, id_col, text_col, with_key=True).groupBy(*key).agg(F.collect_list(F.struct("sequence_id", "offset")).alias("places"))
-    once = cut(docs, path, capacity, end_id, id_col, text_col, True).groupBy(*key).agg(F.first(id_col).alias("doc"), F.first("start").alias("start"), F.first("ids").alias("ids"))
-    pieces = once.join(places, key).select("doc", "start", "ids", F.explode("places").alias("at"))
-    rows = pieces.groupBy("at.sequence_id").agg(F.array_sort(F.collect_list(F.struct("at.offset", "doc", "start", "ids"))).alias("s"))
+    # Texts are encoded once; ids are kept compressed, each piece under a number that the written table gives it.
+    pieces = written(cut(docs, path, capacity, end_id, id_col, text_col, True).withColumn("piece_row", F.monotonically_increasing_id()), "token-pieces")
+    places = placed(pieces.drop("ids"), capacity).select("piece_row", "sequence_id", "offset")
+    # a place takes some 20 bytes to a piece's thousands, so a partition's places fit in memory wherever its ids do
+    segments = pieces.select("piece_row", F.col(id_col).alias("doc"), "start", "ids").join(places.hint("shuffle_hash"), "piece_row")
+    rows = segments.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc", "start", "ids"))).alias("s"))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"sequence_id long, n_tokens long, n_segments long, cu_seqlens array<int>, input_ids binary, position_ids binary, doc_ids array<{kind}>, starts array<long>"
 
     def run(batches):
-        narrow = np.dtype(id_type(path, end_id))
+        narrow, plain = np.dtype(id_type(path, end_id)), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 segments = part.column(1)
                 bounds = segments.offsets.to_numpy()
                 flat = segments.values.slice(bounds[0], bounds[-1] - bounds[0])
-                data, docs_, starts = flat.field("ids").to_pylist(), flat.field("doc"), flat.field("start")
+                data, docs_, starts = [plain(x) for x in flat.field("ids").to_pylist()], flat.field("doc"), flat.field("start")
                 bounds = bounds - bounds[0]
                 used, many, cuts, matrix, restarts = [], [], [], [], []
                 for a, b in zip(bounds[:-1], bounds[1:]):
