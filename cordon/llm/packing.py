@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict, deque
 from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from cordon.llm.common import written
 
 CAPACITY = 2048
 END_ID = 1
-#: Pieces of a length that one task ranks.
-SHARE = 100_000
+#: The least number of pieces of a length that a task ranks alone. Beyond its square, shares grow in size and number as the root of all pieces.
+SHARE = 1_000
 
 
 class CapacityTree:
@@ -96,8 +97,9 @@ def ranked(pieces: DataFrame, counts: dict[int, int], share: int | None = None)
 
     Pieces of a length are dealt into shares of about `share`, as many as its count asks for; the
     shares' counts, a row for each `share` pieces and length, give each share the ranks before it.
+    Neither a share nor their number grows faster than the root of the number of pieces.
     """
-    share = share or SHARE
+    share = share or max(SHARE, isqrt(sum(counts.values())))
     shares = F.array(*[F.lit(-(-counts.get(n, 0) // share)) for n in range(max(counts, default=0) + 1)])
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("piece_key"), F.greatest(F.get(shares, F.col("length").cast("int")), F.lit(1))).cast("int"))
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)

@@ -106,3 +106,20 @@ def test_written_matrices(docs, tmp_path, spark):
     packed = token_output.matrices(docs.limit(20), PATH)
     token_output.write_matrices(packed, str(tmp_path / "m"))
     assert spark.read.parquet(str(tmp_path / "m")).count() == packed.count()
+
+
+def test_ranks_of_a_length_that_holds_most_pieces(spark):
+    pieces = spark.range(30_000).selectExpr("if(id % 3 = 0, id % 5 + 1, 7) as length", "cast(concat('k', id) as binary) as piece_key")
+    counts = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}
+    for share in (None, 100, 10**6):
+        ranks = defaultdict(list)
+        for r in packing.ranked(pieces, counts, share).collect():
+            ranks[r.length].append(r["rank"])
+        assert {n: sorted(x) for n, x in ranks.items()} == {n: list(range(c)) for n, c in counts.items()}
+
+
+def test_repeated_identifiers_with_different_texts_keep_their_places(spark):
+    rows = [(1, f"text {k % 4}") for k in range(12)] + [(None, "a b"), (None, "c d")]
+    frames = [spark.createDataFrame(rows[::step], "doc_id long, text string").repartition(n) for step, n in ((1, 1), (-1, 5))]
+    a, b = (sorted(map(str, packing.pack(f, PATH, capacity=8).collect())) for f in frames)
+    assert a == b and len(a) == 14
