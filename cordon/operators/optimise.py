@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from cordon.config import CAP_MARGIN_KM2, MAX_AREA_KM2, MAX_ITERATIONS, MIN_BLOCKS, N_SEEDS, SA_ITERATIONS, SA_T_END, SEED
 
+#: Pairs of blocks with revenue that a search keeps in memory, some 100 bytes each.
+MAX_PAIRS = 20_000_000
+
 
 @dataclass
 class City:
@@ -52,6 +55,10 @@ class City:
 
     @classmethod
     def collect(cls, blocks: DataFrame, adjacency: DataFrame, both: DataFrame) -> City:
+        """The city's tables on the driver, from where every search gets them whole. More than MAX_PAIRS pairs are an error."""
+        pairs = both.count()
+        if pairs > MAX_PAIRS:
+            raise ValueError(f"{pairs} pairs of blocks with revenue are more than the {MAX_PAIRS} that a search keeps in memory")
         return cls.of(blocks.select("block_id", "area_m2").toPandas(), adjacency.select("src", "dst").toPandas(), both.toPandas())
 
     def between(self, a: int, b: int) -> float:

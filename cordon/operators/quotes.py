@@ -6,6 +6,10 @@ price arms. Everything is per quote_id, so windows over quote_id share one excha
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -229,17 +233,48 @@ def spread_summary(df: DataFrame, prefix: str = "pickup", far_m: float = 40_000.
     """How many sessions' places never move, and mean and median spread of those that move by less than `far_m`."""
     point = F.struct(F.col(f"{prefix}_latitude").alias("lat"), F.col(f"{prefix}_longitude").alias("lon"))
     per = df.groupBy("quote_id").agg(F.collect_set(point).alias("p")).select(max_spread_m(F.col("p")).alias("m"))
+    per = cut_lineage(per)
     moving = F.when((F.col("m") > 0) & (F.col("m") < far_m), F.col("m"))
-    return per.agg(F.count("*").alias("n_quotes"), F.count_if(F.expr("m = 0")).alias("n_static"), rounded(F.avg(moving), 4).alias("mean_m"), rounded(F.percentile(moving, 0.5), 4).alias("median_m"))
+    (median,) = quantiles(per.select(moving.alias("m")), "m", (0.5,))
+    return per.agg(F.count("*").alias("n_quotes"), F.count_if(F.expr("m = 0")).alias("n_static"), rounded(F.avg(moving), 4).alias("mean_m"), rounded(F.lit(median).cast("double"), 4).alias("median_m"))
+
+
+def quantiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> list[float | None]:
+    """Exact quantiles, interpolated between neighbours; None of no values. Nulls don't count.
+
+    Values are counted first, so that one held by most rows is a single row, then
+    range-partitioned. Only the partitions that a quantile lies in are numbered through.
+    """
+    spark = df.sparkSession
+    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    dealt = counted.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "v")
+    placed = cut_lineage(dealt.withColumn("part", F.spark_partition_id()))
+    first, total = {}, 0
+    for r in placed.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # a row a partition
+        first[r["part"]] = (total, total + r["n"])
+        total += r["n"]
+    if not total:
+        return [None] * len(shares)
+    places = [(total - 1) * q for q in shares]
+    wanted = sorted({k for p in places for k in (math.floor(p), math.ceil(p))})
+    parts = [k for k, (low, high) in first.items() if any(low <= w < high for w in wanted)]
+    upto = F.sum("n").over(W.partitionBy("part").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    ranked = placed.where(F.col("part").isin(parts)).withColumn("upto", upto)
+    ranges = spark.createDataFrame([(k, first[k][0]) for k in parts], "part int, before long")
+    near = ranked.join(F.broadcast(ranges), "part").select("v", (F.col("before") + F.col("upto") - F.col("n")).alias("low"), (F.col("before") + F.col("upto")).alias("high"))
+    hits = near.where(reduce(or_, [(F.col("low") <= w) & (F.col("high") > w) for w in wanted])).collect()  # at most two a share
+    at = {w: r["v"] for w in wanted for r in hits if r["low"] <= w < r["high"]}
+    return [at[math.floor(p)] if p == math.floor(p) else (math.ceil(p) - p) * at[math.floor(p)] + (p - math.floor(p)) * at[math.ceil(p)] for p in places]
 
 
 def describe(df: DataFrame, column: str, digits: int = 6) -> DataFrame:
     """count, mean, standard deviation and exact quantiles."""
     c = F.col(column)
-    quantile = lambda q: rounded(F.percentile(c, q), digits)
+    shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+    found = zip(shares, quantiles(df, column, tuple(shares.values())))
     return df.agg(
         F.count(c).alias("n"), rounded(F.avg(c), digits).alias("mean"), rounded(F.stddev_samp(c), digits).alias("std"), F.min(c).alias("min"),
-        quantile(0.25).alias("p25"), quantile(0.5).alias("p50"), quantile(0.75).alias("p75"), quantile(0.95).alias("p95"), quantile(0.99).alias("p99"), F.max(c).alias("max"),
+        *[rounded(F.lit(v).cast("double"), digits).alias(name) for name, v in found], F.max(c).alias("max"),
     )
 
 

@@ -34,8 +34,8 @@ def with_actuals(forecast: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def with_weather(counts: DataFrame, weather: DataFrame) -> DataFrame:
-    """Weather of the hour for all zones. Weather has a row an hour, thousands a year, and is broadcast."""
-    return counts.join(F.broadcast(weather), "hour_bucket", "left")
+    """Weather of the hour for all zones. Weather is broadcast if its size is under the session's threshold, as a row an hour is."""
+    return counts.join(weather, "hour_bucket", "left")
 
 
 def spine(zones: DataFrame, start: str, end: str) -> DataFrame:
@@ -47,7 +47,7 @@ def spine(zones: DataFrame, start: str, end: str) -> DataFrame:
 def prepare_series(counts: DataFrame, weather: DataFrame, start: str, end: str, weather_columns: list[str], weeks: tuple[int, ...] = (1, 2)) -> DataFrame:
     """The dense series of all zones: y (0 where nothing was counted), weather filled forward then 0, lags in weeks (0 before the start)."""
     columns = [c for c in weather_columns if c in weather.columns]
-    dense = spine(counts, start, end).join(counts.select("h3_zone", "hour_bucket", "quote_count"), ["h3_zone", "hour_bucket"], "left").join(F.broadcast(weather.select("hour_bucket", *columns)), "hour_bucket", "left")
+    dense = spine(counts, start, end).join(counts.select("h3_zone", "hour_bucket", "quote_count"), ["h3_zone", "hour_bucket"], "left").join(weather.select("hour_bucket", *columns), "hour_bucket", "left")
     order = W.partitionBy("h3_zone").orderBy("hour_bucket")
     past = order.rowsBetween(W.unboundedPreceding, 0)
     out = dense.withColumn("y", F.coalesce("quote_count", F.lit(0)).cast("double")).withColumns({c: F.coalesce(F.last(c, True).over(past), F.lit(0.0)) for c in columns})
@@ -66,7 +66,7 @@ def future_grid(history: DataFrame, weather: DataFrame, start: str, end: str, we
     grid = spine(history, start, end).withColumnRenamed("hour_bucket", "ds")
     for k in (1, 2):
         grid = lag_by_time(grid, history, k)
-    out = grid.join(F.broadcast(weather.select(F.col("hour_bucket").alias("ds"), *weather_columns)), "ds", "left")
+    out = grid.join(weather.select(F.col("hour_bucket").alias("ds"), *weather_columns), "ds", "left")
     past = W.partitionBy("h3_zone").orderBy("ds").rowsBetween(W.unboundedPreceding, 0)
     return out.withColumns({c: F.coalesce(F.last(c, True).over(past) if fill_forward else F.col(c), F.lit(0.0)) for c in weather_columns})
 

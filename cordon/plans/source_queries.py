@@ -12,10 +12,13 @@ from cordon.operators import quotes as q
 from cordon.operators import series as sr
 from cordon.operators import weather as wt
 from cordon.plans import series_queries as sq
+from cordon.plans.quote_queries import ARM
 from cordon.shared import shared_dir
 from cordon.sources import files
 
 RAW = [c.split()[0] for c in files.QUOTES_RAW.split(", ")]
+#: What orders rows of a call that a CSV file holds, after the draw and the price.
+REST = [*q.PLACES, "estimated_travel_time", "quote_converted"]
 
 
 def fresh(s, name):
@@ -50,7 +53,7 @@ def checkpoint_scan(s, d):
 
 def canonical_from_csv(s, d):
     df = flows.build_and_save_canonical(s, raw_csv(s, d), fresh(s, "canonical"))
-    return df.groupBy("quote_converted").agg(F.count("*").alias("n"), F.count_distinct("quote_id").alias("n_quotes"))
+    return df.withColumn("quote_creation_timestamp", F.col("quote_creation_timestamp").cast("timestamp_ntz"))
 
 
 def geojson_scan(s, d):
@@ -88,7 +91,12 @@ QUERIES = {
     "csv_scan": (csv_scan, "quotes_raw", "select " + ", ".join("cast(quote_id as varchar) as quote_id" if c == "quote_id" else f"cast({c} as {'timestamp' if c == 'quote_creation_timestamp' else 'boolean' if c == 'quote_converted' else 'double'}) as {c}" for c in RAW) + " from quotes_raw"),
     "parquet_scan": (parquet_scan, "quotes_raw", "select quote_id, quoted_price, quote_converted from quotes_raw"),
     "checkpoint_scan": (checkpoint_scan, "quotes_hourly_h3", "select * from quotes_hourly_h3"),
-    "canonical_from_csv": (canonical_from_csv, "quotes_raw", None),
+    "canonical_from_csv": (
+        canonical_from_csv, "quotes_raw",
+        f"""with lasts as (select * from quotes_raw qualify quote_creation_timestamp = max(quote_creation_timestamp) over (partition by quote_id)),
+arms as (select *, row_number() over (partition by quote_id order by {ARM}, quoted_price, {", ".join(REST)}) as n from lasts)
+select * replace (cast(quote_id as varchar) as quote_id, cast(quote_creation_timestamp as timestamp) as quote_creation_timestamp, cast(quoted_price as double) as quoted_price, cast(estimated_travel_time as double) as estimated_travel_time) from (select {", ".join(RAW)} from arms where n = 1) x""",
+    ),
     "geojson_scan": (geojson_scan, "parks", "select park_id, cast(0 as integer) as part, cast(0 as integer) as ring, cast(k as integer) as seq, case when k in (1, 2) then x1 else x0 end as x, case when k in (2, 3) then y1 else y0 end as y from parks cross join (select unnest(range(5)) as k) c"),
     "weather_scan": (weather_scan, "weather_hourly", f"select hour_bucket, temperature_2m, rain, visibility from weather_hourly where hour_bucket >= timestamp '{sq.START}' and hour_bucket < timestamp '{sq.EVAL_START}'"),
     "holidays": (lambda s, d: files.holidays(s), "blocks", f"select * from (values {HOLIDAY_ROWS}) as t(holiday, ds)"),
@@ -100,7 +108,7 @@ QUERIES = {
 select 'conversion' as step, cast(sum(n) as bigint) as rows_before, cast(sum(case when not f1 then n else 0 end) as bigint) as rows_after, cast(count(*) as bigint) as quotes_before, cast(count(*) filter (where not f1) as bigint) as quotes_after from per
 union all select 'place', cast(sum(case when not f1 then n else 0 end) as bigint), cast(sum(case when not f1 and not f2 then n else 0 end) as bigint), count(*) filter (where not f1), count(*) filter (where not f1 and not f2) from per""",
     ),
-    "with_actuals": (with_actuals, None, None),
+    "with_actuals": (with_actuals, sq.NAMES, "with " + sq.NAIVE + " select h3_zone, ds, yhat, yhat_lower, yhat_upper, y from naive"),
     "head_rows": (lambda s, d: view(s, d, "quotes_raw").orderBy("quoted_price", "quote_id", "l_linenumber").select("quote_id", "l_linenumber", "quoted_price").limit(5), "quotes_raw", "select quote_id, l_linenumber, quoted_price from quotes_raw order by quoted_price, quote_id, l_linenumber limit 5"),
     "hour_of_day_counts": (lambda s, d: wt.hour_counts(sq.counts(s, d)), "quotes_hourly_h3", "select cast(hour(hour_bucket) as integer) as hour, cast(sum(quote_count) as bigint) as n from quotes_hourly_h3 group by 1"),
 }

@@ -26,8 +26,7 @@ def sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "30 minutes
     )
 
 
-def drained(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """All that a stream over files gives once its present input is read, as a table in memory."""
-    q = stream.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def drained(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """All that a stream over files gives once its present input is read, written as Parquet at a path and read again."""
+    stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

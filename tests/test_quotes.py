@@ -98,6 +98,19 @@ def test_describe(spark, values, want):
     assert (r.n, r["mean"], r.p25, r.p50, r.p75) == want
 
 
+def test_quantiles_with_a_value_of_most_rows(spark):
+    """Against sorting, with ties over both neighbours of a quantile, nulls, few rows and none."""
+    import numpy as np
+
+    shares = (0.0, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
+    for values in ([7.0] * 700 + [k * 0.5 for k in range(300)], [3.0, -1.0], [2.0]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)] * 5, "v double")
+        assert q.quantiles(df, "v", shares) == pytest.approx([float(np.quantile(values, s)) for s in shares], abs=1e-9)
+    assert q.quantiles(spark.createDataFrame([(None,)], "v double"), "v", (0.5,)) == [None]
+    r = q.describe(spark.createDataFrame([], "v double"), "v").first()
+    assert r.n == 0 and r.p50 is None
+
+
 def test_spread_by_bounds_and_by_pairs_is_the_same(spark):
     """Random sessions around the limit, against all pairs."""
     import math

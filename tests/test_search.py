@@ -115,6 +115,16 @@ def test_bridges_and_unreachable_blocks():
     assert op.keep_border({0, 4}, op.Zone(city, [0]), 9e6) == (0, 1)
 
 
+def test_more_pairs_than_fit_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(op, "MAX_PAIRS", 1)
+    blocks = spark.createDataFrame([(0, 1e6), (1, 1e6)], "block_id int, area_m2 double")
+    adj = spark.createDataFrame([(0, 1), (1, 0)], "src int, dst int")
+    both = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0)], "block int, other int, revenue double")
+    with pytest.raises(ValueError, match="2 pairs"):
+        op.City.collect(blocks, adj, both)
+    assert len(op.City.collect(blocks, adj, both.limit(1)).ids) == 2
+
+
 def test_seeds_keep_two_steps_apart(spark):
     adj = spark.createDataFrame([(i, j) for i in range(10) for j in (i - 1, i + 1) if 0 <= j < 10], "src int, dst int")
     uni = spark.createDataFrame([(0, 9.0), (1, 1.0), (2, 8.0), (3, 1.0), (4, 1.0), (5, 7.0), (6, 0.0), (7, 0.0), (8, 0.0), (9, 7.0)], "block_id int, revenue double")

@@ -72,12 +72,12 @@ def test_streamed_counts_equal_counted_ones(spark, sf, tmp_path):
     (tmp_path / "in").mkdir()
     events.coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    got = zone_counts.drained(zone_counts.hourly_counts(stream, F.col("user_id") % 14, F.col("event_type") == "purchase"), "zone_counts", str(tmp_path / "cp"))
+    got = zone_counts.drained(zone_counts.hourly_counts(stream, F.col("user_id") % 14, F.col("event_type") == "purchase"), str(tmp_path / "zone_counts"), str(tmp_path / "cp"))
     whole = sr.zone_counts(events, F.col("user_id") % 14, converted=F.col("event_type") == "purchase").withColumn("hour_bucket", F.col("hour_bucket").cast("timestamp"))
     last = events.agg(F.max("ts")).first()[0].replace(minute=0, second=0, microsecond=0)
     final = whole.where(F.col("hour_bucket") < F.lit(last) - F.expr("interval 1 hour")).select(*got.columns)
     assert final.exceptAll(got).count() == 0 and got.exceptAll(whole.select(*got.columns)).count() == 0
-    s = zone_counts.drained(zone_counts.sessions(stream, "user_id"), "sessions", str(tmp_path / "cp2"))
+    s = zone_counts.drained(zone_counts.sessions(stream, "user_id"), str(tmp_path / "sessions"), str(tmp_path / "cp2"))
     assert 0 < s.agg(F.sum("calls")).first()[0] <= events.count()
 
 
