@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the
 columns of documents. run() writes each stage's result and reads it again for the next.
+
+Defined results of every stage: null texts count as empty; an empty table gives an empty
+table; extra columns pass through all stages but the last unchanged, whatever their names;
+texts of any length are read whole; no stage depends on the order of rows.
 """
 
 from __future__ import annotations
@@ -16,7 +20,12 @@ from cordon.llm.queries import BPE_FILE, trusted
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Empty texts and those of too few words fail the base rules and go. Repeated rows are judged
+    alike, each by its own text; a doc_id that is null is trusted by no label. Without labels
+    all ratios are 0, and the base rules alone decide.
+    """
     scored = quality_rules.quality_rules(docs, trusted(spark, sf_dir), carry=True)
     return scored.where("kept").select("row.*")
 
@@ -29,14 +38,15 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on labelled documents of the corpus, does not reject.
 
     The model is fitted on the table of documents, since the rules before have removed most of
-    the labelled documents of low quality.
+    the labelled documents of low quality. Repeated rows get equal scores; scores at the
+    threshold stay; without labels of both kinds all scores are 0.5, and all documents stay.
     """
     scored = quality_classifier.quality_classifier(docs, table(spark, sf_dir, "labels"), carry=True, fit_on=table(spark, sf_dir, "documents"))
     return scored.where(F.col("score") >= REJECT_BELOW).select("row.*")
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id."""
+    """Of equal texts the row with the smallest doc_id; of rows equal in both, one. Null and empty texts are equal."""
     return exact_dedup.keep_one(docs)
 
 
@@ -52,7 +62,11 @@ def distinct_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents that are left, with their places in sequences of 2048 tokens."""
+    """Pieces of the documents that are left, with their places in sequences of 2048 tokens.
+
+    An empty text is one piece of the end token alone; repeated rows are packed each for itself;
+    pieces of equal length are ordered by doc_id, start, and then content.
+    """
     return packing.pack(docs, public_tokenizers.path(BPE_FILE))
 
 
