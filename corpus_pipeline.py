@@ -65,7 +65,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, with their places in sequences of 2048 tokens.
 
     An empty text is one piece of the end token alone; repeated rows are packed each for itself;
-    pieces of equal length are ordered by doc_id, start, and then content.
+    pieces of equal length are ordered by a key of doc_id, start and checksum.
     """
     return packing.pack(docs, public_tokenizers.path(BPE_FILE))
 
