@@ -21,18 +21,22 @@ from cordon.operators.blocks import adjacency, cells_of_box, segment_cells
 EDGE = ("ax", "ay", "bx", "by_")
 
 
-def ring_edges(rings: DataFrame, key: str = "block_id") -> DataFrame:
-    """Edges (key, ring, i, ax, ay, bx, by_) of vertices (key, seq, x, y, and ring where there are several)."""
+def ring_edges(rings: DataFrame, key: str = "block_id", places: bool = False) -> DataFrame:
+    """Edges (key, ring, i, ax, ay, bx, by_) of vertices (key, seq, x, y, and ring where there are several). With `places`,
+    a ring whose vertices are all at one place is one edge without length; else it has none."""
     given = rings if "ring" in rings.columns else rings.withColumn("ring", F.lit(0))
     line = given.groupBy(key, "ring").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("r"))
     line = line.select(key, "ring", F.posexplode("r").alias("i", "p"), "r").withColumn("q", F.get("r", (F.col("i") + 1) % F.size("r")))
     same = (F.col("p.x") == F.col("q.x")) & (F.col("p.y") == F.col("q.y"))  # rings may be closed
+    if places:
+        alone = F.forall("r", lambda v: (v["x"] == F.get("r", 0)["x"]) & (v["y"] == F.get("r", 0)["y"]))
+        same = same & ~((F.col("i") == 0) & alone & ~F.isnan(F.col("p.x") + F.col("p.y")))
     return line.where(~same).select(key, "ring", "i", F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by_"))
 
 
 def polygons(rings: DataFrame, key: str = "block_id") -> DataFrame:
     """One row a polygon: key, its edges as an array, its box x0, y0, x1, y1."""
-    edges = ring_edges(rings, key)
+    edges = ring_edges(rings, key, places=True)
     low, high = (lambda a, b: F.least(F.min(a), F.min(b))), (lambda a, b: F.greatest(F.max(a), F.max(b)))
     return edges.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*EDGE))).alias("edges"), low("ax", "bx").alias("x0"), low("ay", "by_").alias("y0"), high("ax", "bx").alias("x1"), high("ay", "by_").alias("y1"))
 
@@ -134,9 +138,10 @@ def heights(shapes: list[np.ndarray]) -> np.ndarray:
 
 
 def spans(shape: np.ndarray, y: float) -> np.ndarray:
-    """Where a horizontal line enters and leaves a shape, in order."""
+    """Where a horizontal line enters and leaves a shape, in order; the same to the last bit whichever way an edge runs."""
     up = (shape[:, 1] > y) != (shape[:, 3] > y)
     e = shape[up]
+    e = np.where((e[:, 1] > e[:, 3])[:, None], e[:, [2, 3, 0, 1]], e)
     return np.sort(e[:, 0] + (y - e[:, 1]) * (e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1]))
 
 
@@ -161,9 +166,49 @@ def overlap(a: np.ndarray, b: np.ndarray, without: list[np.ndarray] | None = Non
     return total
 
 
+def flat(shape: np.ndarray) -> bool:
+    """Whether a shape has no area: a place, a line there and back."""
+    if any(np.ptp(shape[:, [c, c + 2]]) == 0 for c in (0, 1)):
+        return True
+    ys = heights([shape])
+    widths = (spans(shape, (y0 + y1) / 2) for y0, y1 in zip(ys[:-1], ys[1:]))
+    return all((w[::2] == w[1::2]).all() for w in widths)
+
+
+def within(x: float, y: float, shape: np.ndarray) -> bool:
+    """Whether a place is inside a shape, off its border."""
+    ax, ay, bx, by = shape.T
+    on = ((bx - ax) * (y - ay) == (by - ay) * (x - ax)) & (np.minimum(ax, bx) <= x) & (x <= np.maximum(ax, bx)) & (np.minimum(ay, by) <= y) & (y <= np.maximum(ay, by))
+    return not on.any() and bool((spans(shape, y) > x).sum() % 2)
+
+
+def enters(line: np.ndarray, shape: np.ndarray, without: list[np.ndarray] | None = None) -> bool:
+    """Whether any place on the edges of `line` is inside a shape, off its border, and in none of `without`. Between two
+    places where an edge meets others nothing changes, so the middle counts."""
+    o = np.vstack([shape, *(without or [])])
+    ox, oy = o[:, 2] - o[:, 0], o[:, 3] - o[:, 1]
+    for (ax, ay), (bx, by) in {tuple(sorted(((e[0], e[1]), (e[2], e[3])))) for e in line.tolist()}:
+        dx, dy = bx - ax, by - ay
+        length2 = dx * dx + dy * dy
+        stops = np.array([0.0, 0.0])
+        if length2 > 0:
+            cross = dx * oy - dy * ox
+            with np.errstate(divide="ignore", invalid="ignore"):
+                met = ((o[:, 0] - ax) * oy - (o[:, 1] - ay) * ox) / cross
+            along = ((o[:, 0] - ax) * dx + (o[:, 1] - ay) * dy) / length2
+            t = np.concatenate([met[cross != 0], along])
+            stops = np.unique(np.concatenate([[0.0, 1.0], t[(t > 0) & (t < 1)]]))
+        for t in (stops[:-1] + stops[1:]) / 2:
+            x, y = ax + t * dx, ay + t * dy
+            if within(x, y, shape) and not any((spans(s, y) > x).sum() % 2 for s in without or []):
+                return True
+    return False
+
+
 def overlaps(blocks: DataFrame, areas: DataFrame, key: str = "area_id", roads: DataFrame | None = None, buffer_m: float = ROAD_BUFFER_M, cell: float = 1000.0) -> DataFrame:
     """(block_id, key, overlap_m2) of polygons that overlap, both as vertices. With `roads`, places within the buffer of a
-    road that touches any of the areas don't count, as under bridges."""
+    road that touches any of the areas don't count, as under bridges. Polygons without area, lines and places, overlap by 0
+    what they enter; on its border alone they don't."""
     a, b = polygons(blocks, "block_id"), polygons(areas, key)
     if roads is None:
         b = b.withColumn("roads", F.array().cast("array<struct<ax: double, ay: double, bx: double, by_: double>>"))
@@ -177,16 +222,18 @@ def overlaps(blocks: DataFrame, areas: DataFrame, key: str = "area_id", roads: D
     def run(batches):
         shape = lambda es: np.array([[e[c] for c in EDGE] for e in es], float).reshape(-1, 4)
         for pdf in batches:
-            value = []
+            value, meet = [], []
             for x, y, lines in zip(pdf["block_edges"], pdf["edges"], pdf["roads"]):
-                block = shape(x)
+                block, area = shape(x), shape(y)
                 box = (min(block[:, 0].min(), block[:, 2].min()), min(block[:, 1].min(), block[:, 3].min()), max(block[:, 0].max(), block[:, 2].max()), max(block[:, 1].max(), block[:, 3].max()))
                 reach = lambda e: min(e["ax"], e["bx"]) - buffer_m <= box[2] and max(e["ax"], e["bx"]) + buffer_m >= box[0] and min(e["ay"], e["by_"]) - buffer_m <= box[3] and max(e["ay"], e["by_"]) + buffer_m >= box[1]  # noqa: B023, E731
-                value.append(overlap(block, shape(y), [np.array(capsule(*(e[c] for c in EDGE), buffer_m)) for e in lines if reach(e)]))
-            yield pdf[["block_id", key]].assign(overlap_m2=value)
+                under = [np.array(capsule(*(e[c] for c in EDGE), buffer_m)) for e in lines if reach(e)]
+                value.append(overlap(block, area, under))
+                meet.append(value[-1] > 0 or (enters(area, block, under) if flat(area) else flat(block) and enters(block, area, under)))
+            yield pdf[["block_id", key]].assign(overlap_m2=value)[np.array(meet, bool)]
 
     kinds = {f.name: f.dataType.simpleString() for f in met.schema}
-    return met.mapInPandas(run, f"block_id {kinds['block_id']}, {key} {kinds[key]}, overlap_m2 double").where("overlap_m2 > 0")
+    return met.mapInPandas(run, f"block_id {kinds['block_id']}, {key} {kinds[key]}, overlap_m2 double")
 
 
 def coverage(blocks: DataFrame, areas: DataFrame, name: str, key: str = "area_id", **how) -> DataFrame:

@@ -58,6 +58,30 @@ def test_overlap_of_shapes_that_are_not_convex_is_exact():
     assert rings.overlap(edges(comb), edges([(0, 5), (10, 5), (10, 6), (0, 6)])) == pytest.approx(6)
 
 
+def test_boxes_without_area_overlap_by_zero_what_they_enter(spark):
+    """As the SQL of overlay_area has it: boxes of no width, no height or neither, in, on and off the borders of two blocks."""
+    blocks = {0: (0, 0, 1000, 1000), 1: (1000, 0, 2000, 1000)}
+    spots = [0, 300, 1000, 1500, 2000, 2100]
+    boxes = [(x, y, x + w, y + h) for x in spots for y in (0, 400, 1000) for w in (0, 2, 700) for h in (0, 3)]
+    ring = lambda x0, y0, x1, y1: [[(x0, y0), (x1, y0), (x1, y1), (x0, y1)]]
+    got = {tuple(r) for r in rings.overlaps(table(spark, {i: ring(*b) for i, b in blocks.items()}), table(spark, {i: ring(*p) for i, p in enumerate(boxes)}, "area_id")).collect()}
+    want = {
+        (i, k, (min(b[2], p[2]) - max(b[0], p[0])) * (min(b[3], p[3]) - max(b[1], p[1])))
+        for i, b in blocks.items() for k, p in enumerate(boxes) if p[0] < b[2] and p[2] > b[0] and p[1] < b[3] and p[3] > b[1]
+    }
+    assert got == want and sum(a == 0 for *_, a in want) > 10
+
+
+def test_lines_and_places_enter_shapes_that_are_not_convex():
+    shape, hole = edges(L), edges([(200, 200), (400, 200), (400, 400), (200, 400)])
+    there = lambda *p: edges([*p, *p[-2::-1]])
+    assert rings.flat(there((0, 0), (700, 300), (900, 1100))) and rings.flat(edges([(3, 3)])) and not rings.flat(shape)
+    assert rings.enters(there((1500, 1500), (500, 1500)), shape) and rings.enters(there((900, 1900), (1900, 900)), shape)
+    assert not rings.enters(there((1000, 1000), (1000, 2000)), shape) and not rings.enters(there((1100, 1900), (1900, 1100)), shape)
+    assert rings.enters(edges([(300, 300)]), shape) and not rings.enters(edges([(300, 300)]), shape, [hole]) and not rings.enters(edges([(1000, 1500)]), shape)
+    assert not rings.enters(edges([(300, 300)]), np.vstack([shape, hole])) and rings.enters(there((300, 300), (300, 500)), np.vstack([shape, hole]))
+
+
 def test_water_under_a_bridge_does_not_count(spark):
     block = table(spark, {0: [[(0, 0), (1000, 0), (1000, 1000), (0, 1000)]]})
     water = table(spark, {5: [[(100, 100), (900, 100), (900, 300), (100, 300)], [(600, 150), (700, 150), (700, 250), (600, 250)]]}, "area_id")
