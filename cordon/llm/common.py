@@ -16,7 +16,20 @@ WS_CHARS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows that Parquet's reader decodes at once. It holds their texts in one piece of memory that doubles as it grows, in
+#: every task: with Spark's 4,096 rows that is more than a heap has where texts are long.
+READ_ROWS = 64
+
+
+def read_in_portions(spark: SparkSession) -> None:
+    """From now on the session's readers decode READ_ROWS rows at once at most; results are lazy, so this stays."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(key)) > READ_ROWS:
+        spark.conf.set(key, str(READ_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    read_in_portions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,6 +61,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    read_in_portions(spark)
     with batches_of(spark, BATCH_ROWS):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,7 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from cordon.llm import queries
+from cordon.llm import common, queries
 from test_jaccard import brute
 from test_packing import check_pieces
 from test_quality import brute_base
@@ -47,3 +47,19 @@ def test_stages_take_hard_and_empty_tables(spark, hard, empty, sf):
 def test_every_operator_has_a_query():
     names = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+
+
+def test_texts_are_read_in_portions(spark, sf):
+    """Parquet's reader holds the texts of a portion in one piece of memory in every task; a smaller setting of the session stays."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    given = spark.conf.get(key)
+    try:
+        for before, after in ((4096, common.READ_ROWS), (16, 16)):
+            spark.conf.set(key, str(before))
+            common.table(spark, sf, "documents")
+            assert int(spark.conf.get(key)) == after
+            spark.conf.set(key, str(before))
+            common.written(spark.range(1), "portion")
+            assert int(spark.conf.get(key)) == after
+    finally:
+        spark.conf.set(key, given)
